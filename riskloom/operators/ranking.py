@@ -48,8 +48,16 @@ def cumulative(counts: DataFrame, keys: list[str], value: str, amounts: list[str
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], buckets: int = BUCKETS) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per key and probability."""
-    grouped, names = _with_keys(df.where(F.col(value).isNotNull()), keys)
-    counts = grouped.groupBy(*names, value).agg(F.count("*").alias("_n"))
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return quantiles_of_counts(counts, keys, value, "n", probs, buckets)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, keys: list[str], value: str, amount: str, probs: list[float], buckets: int = BUCKETS
+) -> DataFrame:
+    """Quantiles of a table that holds each distinct value once with its number of rows."""
+    grouped, names = _with_keys(counts.where(F.col(value).isNotNull()), keys)
+    counts = grouped.select(*names, value, F.col(amount).alias("_n"))
     placed = _bucketed(counts, names, value, buckets)
     spans = _spans(placed, names, ["_n"])
 
@@ -80,34 +88,47 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], bu
     return pair.select(*keys, "prob", mixed.cast("double").alias("value"))
 
 
-def quantiles_wide(df: DataFrame, keys: list[str], value: str, named: dict[str, float]) -> DataFrame:
-    """Quantiles as one column per name."""
-    long = quantiles(df, keys, value, list(named.values()))
+def spread(long: DataFrame, keys: list[str], named: dict[str, float]) -> DataFrame:
+    """Quantile rows as one column per name."""
     picks = [F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for name, p in named.items()]
     return long.groupBy(*keys).agg(*picks)
 
 
-def row_index(df: DataFrame, keys: list[str], position: str, width: int = 4096, limit: int | None = None, name: str = "row_index") -> DataFrame:
-    """0-based rank of each row inside its key by an integer position.
+def row_index(
+    df: DataFrame, keys: list[str], order: str, block: Column, limit: int | None = None, name: str = "row_index"
+) -> DataFrame:
+    """0-based rank of each row inside its key, and the key's row count (``key_rows``).
 
-    Rows are numbered per block of ``width`` positions; the count of the
-    earlier blocks is added.  With ``limit`` only the first rows are returned,
-    and blocks that start beyond it are dropped before their rows are sorted.
+    ``block`` must grow with ``order`` and split a large key into many parts:
+    rows are numbered inside their block and the rows of earlier blocks added.
+    With ``limit`` only the first rows are returned, and blocks that start
+    beyond it are dropped before their rows are sorted.
     """
-    block = F.floor(F.col(position) / F.lit(width)).alias("_block")
     tagged = df.withColumn("_block", block)
     counts = tagged.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = counts.select(*keys, "_block", (F.sum("_n").over(upto) - F.col("_n")).alias("_offset"))
+    whole = Window.partitionBy(*keys)
+    offsets = counts.select(
+        *keys, "_block", (F.sum("_n").over(upto) - F.col("_n")).alias("_offset"), F.sum("_n").over(whole).alias("key_rows"))
     if limit is not None:
         offsets = offsets.where(F.col("_offset") < limit)
-    inside = Window.partitionBy(*keys, "_block").orderBy(position)
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
     out = tagged.join(offsets, [*keys, "_block"]).withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
     if limit is not None:
         out = out.where(F.col(name) < limit)
     return out.drop("_block", "_offset")
 
 
+def position_block(position: str, width: int = 4096) -> Column:
+    """Block for integer positions."""
+    return F.floor(F.col(position) / F.lit(width))
+
+
+def hash_block(hexadecimal: str, digits: int = 3) -> Column:
+    """Block for hexadecimal digests: their first digits."""
+    return F.substring(hexadecimal, 1, digits)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row per key; an aggregate, so copies collapse before the shuffle."""
     rest = [c for c in df.columns if c not in keys and c not in order]
