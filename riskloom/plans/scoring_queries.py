@@ -128,10 +128,10 @@ def table_model_means(lake: Lake):
 
 
 @query("table_keywords", "W4 T16", q.with_views("message_rows", f"""
-    , t AS (SELECT document_id, pos, unnest(ts) AS keyword, unnest(range(len(ts))) AS at FROM (
+    , t AS (SELECT document_id, pos, unnest(ts) AS keyword, unnest(range(len(ts))) AS place FROM (
         SELECT document_id, pos, list_filter({q.tokens('message')}, lambda t: regexp_full_match(t, '[a-z]{{4,}}')) AS ts FROM message_rows))
     SELECT document_id, keyword, n, rank FROM (SELECT document_id, keyword, count(*) AS n,
-        row_number() OVER (PARTITION BY document_id ORDER BY count(*) DESC, min(row(pos, at))) AS rank FROM t GROUP BY document_id, keyword) WHERE rank <= 15"""))
+        row_number() OVER (PARTITION BY document_id ORDER BY count(*) DESC, min(row(pos, place))) AS rank FROM t GROUP BY document_id, keyword) WHERE rank <= 15"""))
 def table_keywords(lake: Lake):
     return sc.document_keywords(lake.message_rows())
 
