@@ -8,6 +8,7 @@ from riskloom.plans import (  # noqa: F401
     source_queries,
     stream_queries,
     text_queries,
+    training_queries,
     web_queries,
 )
 from riskloom.plans.registry import ENTRIES
