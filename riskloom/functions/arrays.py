@@ -17,39 +17,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def term_counts(terms: Column) -> Column:
-    """``array<struct<neg_n, pos, term>>``: one entry per distinct term.
+def _runs(s: Column, term: Callable[[Column], Column], entry: Callable[[Column, Column], Column]) -> Column:
+    """One ``entry(first element, count)`` per run of equal terms in a sorted array."""
+    starts = F.filter(
+        F.transform(s, lambda _, i: i), lambda i: (i == 0) | (term(F.get(s, i)) != term(F.get(s, i - 1))))
+    return let(
+        starts,
+        lambda b: F.transform(b, lambda at, k: entry(F.get(s, at), F.coalesce(F.get(b, k + 1), F.size(s)) - at)))
 
-    ``neg_n`` is minus the count and ``pos`` the first position, so the natural
-    order of the entries is "most frequent first, earliest on ties".  Sorting
-    the positions makes equal terms adjacent, hence n log n work per row.
-    """
-    placed = F.array_sort(F.transform(terms, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(
-            F.transform(s, lambda _, i: i),
-            lambda i: (i == 0) | (F.get(s, i)["t"] != F.get(s, i - 1)["t"]),
-        )
-        return let(
-            starts,
-            lambda b: F.transform(
-                b,
-                lambda at, k: F.struct(
-                    (at - F.coalesce(F.get(b, k + 1), F.size(s))).alias("neg_n"),
-                    F.get(s, at)["i"].alias("pos"),
-                    F.get(s, at)["t"].alias("term"),
-                ),
-            ),
-        )
 
-    return let(placed, runs)
+def term_counts(terms: Column) -> Column:
+    """``array<struct<term, n>>``: the count of each distinct term.  Sorting makes equal terms adjacent."""
+    return let(
+        F.sort_array(terms),
+        lambda s: _runs(s, lambda e: e, lambda e, n: F.struct(e.alias("term"), n.alias("n"))))
 
 
 def ranked_terms(terms: Column, k: int) -> Column:
     """The ``k`` most frequent terms, ties by first position."""
-    top = F.slice(F.array_sort(term_counts(terms)), 1, k)
-    return F.transform(top, lambda e: e["term"])
+    placed = F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    counted = let(
+        placed,
+        lambda s: _runs(
+            s, lambda e: e["t"], lambda e, n: F.struct((-n).alias("neg_n"), e["i"].alias("pos"), e["t"].alias("term"))))
+    return F.transform(F.slice(F.sort_array(counted), 1, k), lambda e: e["term"])
 
 
 def bigrams(tokens: Column) -> Column:
@@ -70,11 +61,11 @@ def bigrams(tokens: Column) -> Column:
 def argmax_entry(scores: Column) -> Column:
     """Key of the largest map value; the alphabetically first key on ties."""
     entries = F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k")))
-    return F.get(F.array_sort(entries), F.lit(0))["k"]
+    return F.get(F.sort_array(entries), F.lit(0))["k"]
 
 
 def entries_by_value(scores: Column) -> Column:
     """Map entries as ``array<struct<v, k>>`` with ``v`` negated, largest value first."""
-    return F.array_sort(
+    return F.sort_array(
         F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k")))
     )

@@ -96,19 +96,18 @@ def vector_tokens(text: Column, accents: bool = True) -> Column:
     return F.filter(F.split(base, NON_WORD), lambda t: F.length(t) >= 2)
 
 
-def message_features(text: Column) -> list[Column]:
-    """Length, word, capital and vocabulary features of one message."""
-    w = words(text)
-    lowered = F.transform(w, lambda x: F.lower(x))
+def message_features(text: Column, w: Column) -> list[Column]:
+    """Length, word, capital and vocabulary features of one message; ``w`` holds its words."""
     caps = F.exists(w, lambda x: (F.length(x) > 1) & x.rlike(r"\p{Lu}") & ~x.rlike(r"[\p{Ll}\p{Lt}]"))
-    total = F.aggregate(w, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
+    letters = F.length(F.array_join(w, "")).cast("long")
+    kinds = F.size(F.array_distinct(F.transform(w, lambda x: F.lower(x))))
     return [
         F.length(text).cast("long").alias("msg_len"),
         F.size(w).cast("long").alias("word_count"),
-        (total / F.nullif(F.size(w), F.lit(0))).alias("avg_word_len"),
+        (letters / F.nullif(F.size(w), F.lit(0))).alias("avg_word_len"),
         text.contains("!").cast("long").alias("has_exclamation"),
         caps.cast("long").alias("has_caps_word"),
-        (F.size(F.array_distinct(lowered)) / F.greatest(F.size(w), F.lit(1))).alias("unique_word_ratio"),
+        (kinds / F.greatest(F.size(w), F.lit(1))).alias("unique_word_ratio"),
     ]
 
 
@@ -128,7 +127,7 @@ def language_hits(text: Column, profiles: dict[str, list[str]] | None = None) ->
         found = F.filter(ts, lambda t: t.isin(profiles[lang]))
         return F.struct((-F.size(found)).alias("neg_hits"), F.lit(lang).alias("lang"))
 
-    return let(tokens(text), lambda ts: F.array_sort(F.array(*[hits(ts, lang) for lang in profiles])))
+    return let(tokens(text), lambda ts: F.sort_array(F.array(*[hits(ts, lang) for lang in profiles])))
 
 
 def detect_language(text: Column, profiles: dict[str, list[str]] | None = None) -> Column:
@@ -139,7 +138,7 @@ def detect_language(text: Column, profiles: dict[str, list[str]] | None = None)
 def highlight(text: Column, keywords: Column, before: str = "<mark>", after: str = "</mark>") -> Column:
     """Mark every case-insensitive occurrence of any keyword; earlier keywords win at one position."""
     escaped = F.transform(keywords, lambda k: F.regexp_replace(k, r"([.*+?^${}()|\[\]\\])", r"\\$1"))
-    pattern = F.concat(F.lit("(?i)("), F.array_join(escaped, "|"), F.lit(")"))
+    pattern = F.concat(F.lit("(?iu)("), F.array_join(escaped, "|"), F.lit(")"))
     return F.when(F.size(keywords) > 0, F.regexp_replace(text, pattern, F.lit(f"{before}$1{after}"))).otherwise(text)
 
 

@@ -11,7 +11,7 @@ from riskloom.fixed_values import LEVELS, SOURCE_TYPES, ZONE
 from riskloom.functions.scores import normalize_level, normalize_score, round_tie_up
 from riskloom.functions.text import strip
 from riskloom.functions.times import ntz, zone_day
-from riskloom.operators.frames import merge_single_rows
+from riskloom.operators.frames import explode_once, merge_single_rows
 from riskloom.operators.monitor import new_items, owned, since
 
 DAY = dt.timedelta(hours=24)
@@ -85,7 +85,7 @@ def bars(breakdown: DataFrame) -> DataFrame:
 
 def breakdown_text(breakdown: DataFrame) -> DataFrame:
     """One line ``N name · …``, largest first.  There is one entry per source kind, so the list is short."""
-    entries = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "name")))
+    entries = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), "name")))
     line = F.array_join(F.transform(entries, lambda e: F.concat((-e["neg"]).cast("string"), F.lit(" "), e["name"])), " · ")
     return breakdown.agg(F.coalesce(F.when(F.length(line) > 0, line), F.lit("—")).alias("summary"))
 
@@ -140,7 +140,7 @@ def hourly_counts(rows: DataFrame, as_of: dt.datetime, column: str = "created_at
 
 def keyword_ranking(keywords: DataFrame, k: int = 10, column: str = "keywords") -> DataFrame:
     """Most frequent keywords over the lists of all rows, trimmed and lower-cased."""
-    raw = keywords.select(F.explode(column).alias("raw"))
+    raw = explode_once(keywords, [], F.col(column), "raw")
     each = raw.select(F.lower(strip(F.col("raw"))).alias("keyword"))
     counted = each.where(F.length("keyword") > 0).groupBy("keyword").agg(F.count("*").alias("n"))
     return counted.orderBy(F.col("n").desc(), "keyword").limit(k)

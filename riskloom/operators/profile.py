@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from riskloom.fixed_values import ENGLISH_STOP_WORDS
 from riskloom.functions.arrays import bigrams, let
 from riskloom.functions.scores import round_tie_up
-from riskloom.functions.text import message_features, punctuation_counts, tokens, vector_tokens
-from riskloom.operators.frames import melt, merge_single_rows
+from riskloom.functions.text import message_features, punctuation_counts, tokens, vector_tokens, words
+from riskloom.operators.frames import explode_once, melt, merge_single_rows
 from riskloom.operators.ranking import quantiles_of_counts, spread, top_k
 
 FEATURES = ["msg_len", "word_count", "avg_word_len", "has_exclamation", "has_caps_word", "unique_word_ratio"]
@@ -25,7 +25,8 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 def with_features(messages: DataFrame) -> DataFrame:
     keep = [c for c in messages.columns if c != "text"]
-    return messages.select(*keep, *message_features(F.col("text")))
+    split = messages.select(*keep, "text", words(F.col("text")).alias("_words"))
+    return split.select(*keep, *message_features(F.col("text"), F.col("_words")))
 
 
 def feature_counts(messages: DataFrame, features: list[str] = FEATURES) -> DataFrame:
@@ -164,7 +165,7 @@ def top_ngrams(messages: DataFrame, size: int, k: int, stop_words=ENGLISH_STOP_W
     """Most frequent terms of each class after stop words are dropped; ties by term."""
     kept = F.filter(vector_tokens(F.col("text"), accents=False), lambda t: ~t.isin(list(stop_words)))
     terms = bigrams(kept) if size == 2 else kept
-    counted = messages.select("label", F.explode(terms).alias("term")).groupBy("label", "term").agg(F.count("*").alias("n"))
+    counted = explode_once(messages, ["label"], terms, "term").groupBy("label", "term").agg(F.count("*").alias("n"))
     return top_k(counted, ["label"], [F.col("n").desc(), F.col("term")], k)
 
 

@@ -15,10 +15,13 @@ BUCKETS = 256
 
 
 def _bucketed(counts: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
-    """Add ``_bucket``: a monotone function of the value with about equally many distinct values each."""
+    """Add ``_bucket``: the number of approximate quantiles below the value, found by binary search."""
     marks = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, marks, buckets * 20).alias("_bounds"))
-    below = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
+    halves = [2**i for i in range((buckets - 1).bit_length() - 1, -1, -1)]
+    below = F.aggregate(
+        F.array(*[F.lit(h) for h in halves]), F.lit(0),
+        lambda i, h: F.when(F.get("_bounds", i + h - 1) < F.col(value), i + h).otherwise(i))
     return counts.join(bounds, keys).withColumn("_bucket", below).drop("_bounds")
 
 

@@ -212,12 +212,12 @@ def roll_up(rows: DataFrame, scorers: list) -> DataFrame:
 def model_means(rows: DataFrame, scorers: list) -> DataFrame:
     """Mean score per document and model."""
     scored = classify(rows, "message", scorers)
-    long = scored.select("document_id", F.explode("model_scores").alias("model", "score"))
+    long = scored.select("document_id", F.explode_outer("model_scores").alias("model", "score")).where(F.col("model").isNotNull())
     return long.groupBy("document_id", "model").agg(round_tie_up(F.avg("score")).alias("mean_score"))
 
 
 def document_keywords(rows: DataFrame, k: int = TOP_KEYWORDS) -> DataFrame:
     """Top keywords over all messages of each document, ties by first occurrence."""
-    long = rows.select("document_id", "pos", F.posexplode(keyword_tokens(F.col("message"))).alias("at", "keyword"))
-    counted = long.groupBy("document_id", "keyword").agg(F.count("*").alias("n"), F.min(F.struct("pos", "at")).alias("first"))
+    long = rows.select("document_id", "pos", F.posexplode_outer(keyword_tokens(F.col("message"))).alias("at", "keyword"))
+    counted = long.where(F.col("keyword").isNotNull()).groupBy("document_id", "keyword").agg(F.count("*").alias("n"), F.min(F.struct("pos", "at")).alias("first"))
     return top_k(counted, ["document_id"], [F.col("n").desc(), F.col("first")], k).select("document_id", "keyword", "n", "rank")

@@ -61,7 +61,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     live = F.regexp_replace("html", noise_pattern(("script", "style")), "")
     hrefs = F.regexp_extract_all(live, F.lit(ANCHOR), F.lit(1))
     bare = F.transform(hrefs, lambda h: unescape(F.regexp_replace(h, "^[\"']|[\"']$", "")))
-    found = pages.select("page_id", "url", F.posexplode(bare).alias("pos", "href"))
+    found = pages.select("page_id", "url", F.posexplode_outer(bare).alias("pos", "href")).where(F.col("pos").isNotNull())
     return found.withColumn("link", resolve_link(F.col("url"), F.col("href"))).where(F.col("link").startswith("http")).select(
         "page_id", F.col("pos").cast("long").alias("pos"), "link")
 

@@ -177,5 +177,5 @@ _HITS = [f"len(list_filter(ts, lambda t: t IN ({', '.join(repr(w) for w in ws)})
         FROM (SELECT doc_id, n_chars, {q.tokens('text')} AS ts FROM documents))""")
 def rule_scores(lake: Lake):
     rule = p.rule_score(F.col("text"), _LEXICON)
-    scored = lake.table("documents").select("doc_id", rule.alias("rule"), ((F.col("n_chars") % 101) / 100.0).alias("model"))
+    scored = lake.texts().select("doc_id", rule.alias("rule"), ((F.col("n_chars") % 101) / 100.0).alias("model"))
     return scored.select("doc_id", round_tie_up(F.col("rule"), 6).alias("rule_score"), round_tie_up(p.blend(F.col("model"), F.col("rule")), 6).alias("blended"))

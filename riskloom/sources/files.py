@@ -54,7 +54,7 @@ def csv_lines(spark: SparkSession, path: str, limit: int = 5000) -> DataFrame:
 def joined_lines(lines: DataFrame, limit: int = 5000) -> DataFrame:
     """One text per document out of its first ``limit`` lines; the limit bounds what one row holds."""
     kept = lines.where(F.col("pos") < limit)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "line")))
     return kept.groupBy("document_id").agg(F.array_join(F.transform(ordered, lambda e: e["line"]), "\n").alias("text"))
 
 
