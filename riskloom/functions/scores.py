@@ -17,13 +17,12 @@ def round_tie_up(value: Column, digits: int = 4) -> Column:
 
 def normalize_score(raw: Column) -> Column:
     """Any raw score to 0..1: percentages are scaled, bad values become 0, the rest is clamped."""
-    number = F.try_cast(raw, "double") if hasattr(F, "try_cast") else raw.try_cast("double")
-    number = F.when(F.isnan(number), F.lit(None)).otherwise(number)
-    scaled = F.when((number > 1.0) & (number <= 100.0), number / 100.0).otherwise(number)
+    number = raw.try_cast("double")
     return (
-        F.when(scaled.isNull() | (scaled < 0.0), F.lit(0.0))
-        .when(scaled > 1.0, F.lit(1.0))
-        .otherwise(F.round(scaled, 4) + F.lit(0.0))
+        F.when(number.isNull() | F.isnan(number) | (number < 0.0), F.lit(0.0))
+        .when(number > 100.0, F.lit(1.0))
+        .when(number > 1.0, F.round(number / 100.0, 4))
+        .otherwise(F.round(number, 4) + F.lit(0.0))
     )
 
 

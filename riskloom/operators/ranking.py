@@ -59,8 +59,9 @@ def quantiles_of_counts(
     counts: DataFrame, keys: list[str], value: str, amount: str, probs: list[float], buckets: int = BUCKETS
 ) -> DataFrame:
     """Quantiles of a table that holds each distinct value once with its number of rows."""
-    grouped, names = _with_keys(counts.where(F.col(value).isNotNull()), keys)
-    counts = grouped.select(*names, value, F.col(amount).alias("_n"))
+    grouped, names = _with_keys(counts, keys)
+    # Nulls weigh nothing; a filter would be pushed into the counting and make it differ from other uses of it.
+    counts = grouped.select(*names, value, F.when(F.col(value).isNotNull(), F.col(amount)).otherwise(0).alias("_n"))
     placed = _bucketed(counts, names, value, buckets)
     spans = _spans(placed, names, ["_n"])
 

@@ -147,7 +147,7 @@ _LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumb
         {q.rnd(f'avg({c})')} AS mean, {q.rnd(f'quantile_cont({c}::DOUBLE, 0.25)')} AS q1, {q.rnd(f'quantile_cont({c}::DOUBLE, 0.5)')} AS median, {q.rnd(f'quantile_cont({c}::DOUBLE, 0.75)')} AS q3
     FROM lineitem""" for c in _LINE_NUM))
 def numeric_profile(lake: Lake):
-    return p.numeric_profile(lake.table("lineitem"), _LINE_NUM)
+    return p.numeric_profile(lake.spread("lineitem", "l_orderkey"), _LINE_NUM)
 
 
 _CATS = ["o_orderstatus", "o_orderpriority"]
@@ -177,5 +177,5 @@ _HITS = [f"len(list_filter(ts, lambda t: t IN ({', '.join(repr(w) for w in ws)})
         FROM (SELECT doc_id, n_chars, {q.tokens('text')} AS ts FROM documents))""")
 def rule_scores(lake: Lake):
     rule = p.rule_score(F.col("text"), _LEXICON)
-    scored = lake.texts().select("doc_id", rule.alias("rule"), ((F.col("n_chars") % 101) / 100.0).alias("model"))
+    scored = lake.spread().select("doc_id", rule.alias("rule"), ((F.col("n_chars") % 101) / 100.0).alias("model"))
     return scored.select("doc_id", round_tie_up(F.col("rule"), 6).alias("rule_score"), round_tie_up(p.blend(F.col("model"), F.col("rule")), 6).alias("blended"))

@@ -45,7 +45,7 @@ def _scored(source: str, key: str, body: str) -> str:
     SELECT doc_id, s_e AS toxic, s_o AS calm, s_e AS threat_score, {q.level('s_e')} AS threat_level, CASE WHEN s_o > s_e THEN 'calm'
            WHEN s_e > s_o THEN 'toxic' ELSE 'calm' END AS top_label FROM models""")
 def long_text_scores(lake: Lake):
-    docs = lake.texts().select("doc_id", "text")
+    docs = lake.spread().select("doc_id", "text")
     out = sc.classify(docs, "text", column_scorers()[:1])
     labels = F.col("label_scores")
     return out.select("doc_id", labels["toxic"].alias("toxic"), labels["calm"].alias("calm"), "threat_score", "threat_level", "top_label")
@@ -55,7 +55,7 @@ def long_text_scores(lake: Lake):
     WITH {_scored('documents', 'doc_id', 'text')}
     SELECT doc_id, letters_e, letters_n, {q.rnd('mean')} AS threat_score, {q.level('mean')} AS threat_level FROM models""")
 def multi_model_scores(lake: Lake):
-    out = sc.classify(lake.texts().select("doc_id", "text"), "text", column_scorers())
+    out = sc.classify(lake.spread().select("doc_id", "text"), "text", column_scorers())
     each = [F.col("model_scores")[s].alias(s) for s in ("letters_e", "letters_n")]
     return out.select("doc_id", *each, "threat_score", "threat_level")
 
@@ -82,7 +82,7 @@ def weighted_ensemble(lake: Lake):
            coalesce(kw.keywords, '') AS keywords, len({q.words('d.text')}) AS word_count
     FROM documents d JOIN models m USING (doc_id) LEFT JOIN kw USING (doc_id)"""))
 def text_analysis(lake: Lake):
-    out = sc.analyze(lake.texts().select("doc_id", "text"), "text", column_scorers()[:1])
+    out = sc.analyze(lake.spread().select("doc_id", "text"), "text", column_scorers()[:1])
     return out.select("doc_id", "threat_score", "threat_level", "summary", F.array_join("keywords", "|").alias("keywords"), "word_count")
 
 
@@ -91,7 +91,7 @@ def text_analysis(lake: Lake):
 def document_keywords(lake: Lake):
     from riskloom.functions.text import top_keywords
 
-    listed = lake.texts().select("doc_id", top_keywords(F.col("text")).alias("k"))
+    listed = lake.spread().select("doc_id", top_keywords(F.col("text")).alias("k"))
     return listed.select("doc_id", F.array_join("k", "|").alias("keywords"))
 
 
@@ -167,14 +167,14 @@ _GRAMS = f"""
 
 @query("tfidf_vocabulary", "T1", f"WITH {_GRAMS} SELECT term, df, {q.rnd('idf', 8)} AS idf FROM vocab")
 def tfidf_vocabulary(lake: Lake):
-    docs = lake.texts().select("doc_id", "text")
+    docs = lake.spread().select("doc_id", "text")
     vocab = tfidf.vocabulary(tfidf.doc_terms(docs, "doc_id"), docs.count())
     return vocab.select("term", "df", round_tie_up(F.col("idf"), 8).alias("idf"))
 
 
 @query("tfidf_weights", "T1", f"WITH {_GRAMS} SELECT doc_id, term, {q.rnd('weight', 6)} AS weight FROM weighted")
 def tfidf_weights(lake: Lake):
-    docs = lake.texts().select("doc_id", "text")
+    docs = lake.spread().select("doc_id", "text")
     return tfidf.tfidf(docs, "doc_id").withColumn("weight", round_tie_up(F.col("weight"), 6))
 
 
@@ -182,7 +182,7 @@ def tfidf_weights(lake: Lake):
     WITH {_GRAMS}, c AS (SELECT doc_id, term, weight * ((length(term) - 6) / 10.0::DOUBLE) AS contribution FROM weighted)
     SELECT doc_id, round(sum(contribution) + 0.05 + 1e-9, 6) AS margin, count(*) AS terms FROM c GROUP BY doc_id""")
 def attribution_margins(lake: Lake):
-    docs = lake.texts().select("doc_id", "text")
+    docs = lake.spread().select("doc_id", "text")
     terms = tfidf.doc_terms(docs, "doc_id")
     vocab = tfidf.vocabulary(terms, docs.count())
     coefficients = vocab.select("term", ((F.length("term") - 6) / 10.0).alias("coefficient"))

@@ -20,13 +20,13 @@ BRIDGE = "https://bridge.example.org/channel/"
     SELECT doc_id, {q.strip(f"regexp_replace(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_{WS}.,!?;:''-]', ' ', 'g'), '[{WS}]+', ' ', 'g')")} AS cleaned
     FROM documents""")
 def clean_text(lake: Lake):
-    return lake.texts().select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+    return lake.spread().select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query("tokenize", "F2", f"SELECT doc_id, array_to_string({q.tokens('text')}, ' ') AS tokens, len({q.tokens('text')}) AS n FROM documents")
 def tokenize(lake: Lake):
     t = text.tokens(F.col("text"))
-    return lake.texts().select("doc_id", F.array_join(t, " ").alias("tokens"), F.size(t).cast("long").alias("n"))
+    return lake.spread().select("doc_id", F.array_join(t, " ").alias("tokens"), F.size(t).cast("long").alias("n"))
 
 
 @query("sentences", "F3", f"""
@@ -35,7 +35,7 @@ def tokenize(lake: Lake):
             string_split(regexp_replace(text, '([.!?])[{WS}]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {q.strip('x')}), lambda x: x <> '') AS s
         FROM documents)""")
 def sentences(lake: Lake):
-    return lake.texts().select("doc_id", F.posexplode_outer(text.sentences(F.col("text"))).alias("pos", "sentence")).where(F.col("pos").isNotNull()).withColumn("pos", F.col("pos").cast("long"))
+    return lake.spread().select("doc_id", F.posexplode_outer(text.sentences(F.col("text"))).alias("pos", "sentence")).where(F.col("pos").isNotNull()).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("truncate_text", "F4", """
@@ -101,7 +101,7 @@ def zone_times(lake: Lake):
     SELECT doc_id, CASE WHEN length(flat) > 80 THEN substr(flat, 1, 80) || '…' ELSE flat END AS snippet
     FROM (SELECT doc_id, replace({q.strip('text')}, chr(10), ' ') AS flat FROM documents)""")
 def snippets(lake: Lake):
-    return lake.texts().select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+    return lake.spread().select("doc_id", text.snippet(F.col("text")).alias("snippet"))
 
 
 @query("score_formats", "F12", q.with_views("analyses", """
@@ -116,12 +116,12 @@ def score_formats(lake: Lake):
         SELECT doc_id, list_filter(list_transform(string_split(text, ','), lambda x: {q.strip('x')}), lambda x: x <> '') AS parts FROM documents)""")
 def list_parse(lake: Lake):
     parts = text.split_list(F.col("text"))
-    return lake.texts().select("doc_id", F.size(parts).cast("long").alias("n"), F.array_join(parts, "|").alias("parts"))
+    return lake.spread().select("doc_id", F.size(parts).cast("long").alias("n"), F.array_join(parts, "|").alias("parts"))
 
 
 @query("word_counts", "F14", f"SELECT doc_id, len({q.words('text')}) AS word_count FROM documents")
 def word_counts(lake: Lake):
-    return lake.texts().select("doc_id", text.word_count(F.col("text")).alias("word_count"))
+    return lake.spread().select("doc_id", text.word_count(F.col("text")).alias("word_count"))
 
 
 @query("label_argmax", "F15", q.with_views("model_scores_long", """
@@ -217,7 +217,7 @@ def threat_labels(lake: Lake):
     kind, user = F.col("event_type"), F.col("user_id")
     label = (F.when(kind == "signup", F.concat(F.lit("LABEL_"), user % 3)).when(kind == "error", F.concat(F.lit("severe_"), user))
              .when(kind == "view", "POSITIVE").when(kind == "click", "Negative").otherwise(F.concat(F.lit("hate-"), user)))
-    found = explode_once(lake.texts(), [], text.tokens(F.col("text")), "token").union(lake.events().select(label))
+    found = explode_once(lake.spread(), [], text.tokens(F.col("text")), "token").union(lake.events().select(label))
     return found.distinct().select("token", scores.is_threat_label(F.col("token")).alias("threat"))
 
 
@@ -268,12 +268,12 @@ _LANG_HITS = ", ".join(
     SELECT doc_id, lang, CASE WHEN best.h < 0 THEN best.lang ELSE 'unknown' END AS detected
     FROM (SELECT doc_id, lang, list_sort([{_LANG_HITS}])[1] AS best FROM (SELECT doc_id, lang, {q.tokens('text')} AS ts FROM documents))""")
 def language(lake: Lake):
-    return lake.texts().select("doc_id", "lang", text.detect_language(F.col("text")).alias("detected"))
+    return lake.spread().select("doc_id", "lang", text.detect_language(F.col("text")).alias("detected"))
 
 
 @query("language_accuracy", "T15", f"""
     SELECT lang, count(*) AS n, count_if(lang = CASE WHEN best.h < 0 THEN best.lang ELSE 'unknown' END) AS correct
     FROM (SELECT doc_id, lang, list_sort([{_LANG_HITS}])[1] AS best FROM (SELECT doc_id, lang, {q.tokens('text')} AS ts FROM documents)) GROUP BY lang""")
 def language_accuracy(lake: Lake):
-    found = lake.texts().select("lang", text.detect_language(F.col("text")).alias("detected"))
+    found = lake.spread().select("lang", text.detect_language(F.col("text")).alias("detected"))
     return found.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("detected")).alias("correct"))

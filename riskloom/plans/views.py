@@ -51,8 +51,8 @@ class Lake:
             self._step = max(1, self.table("events").count() // max(1, self.table("documents").count()))
         return self._step
 
-    def texts(self, name: str = "documents", key: str = "doc_id") -> DataFrame:
-        """A text table, spread over the cores for heavy per-row work."""
+    def spread(self, name: str = "documents", key: str = "doc_id") -> DataFrame:
+        """A table spread over the cores, for heavy per-row work."""
         return spread_out(self.table(name), key)
 
     def events(self) -> DataFrame:
@@ -125,14 +125,14 @@ class Lake:
 
     def analysis_keywords(self) -> DataFrame:
         """(analysis_id, keywords) for the analyses tied to a document."""
-        return self.texts().select(
+        return self.spread().select(
             (F.col("doc_id") * self.step).alias("analysis_id"), text.top_keywords(F.col("text")).alias("keywords")
         )
 
     def messages(self) -> DataFrame:
         labels = self.table("labels").select("doc_id", "toxic")
         label = F.when(F.col("toxic") == 1, "EXTREMIST").otherwise("NON_EXTREMIST")
-        return self.texts().select("doc_id", "text").join(labels, "doc_id").select("doc_id", "text", label.alias("label"))
+        return self.spread().select("doc_id", "text").join(labels, "doc_id").select("doc_id", "text", label.alias("label"))
 
     def message_rows(self) -> DataFrame:
         """Message tables: one row per conversation turn, blank messages removed."""
@@ -145,7 +145,7 @@ class Lake:
         body = F.col("text")
         w = text.words(body)
         ratio = F.size(F.array_distinct(F.transform(w, lambda x: F.lower(x)))) / F.greatest(F.size(w), F.lit(1))
-        return self.texts().select(
+        return self.spread().select(
             "doc_id", "source",
             F.create_map(
                 F.lit("length"), (F.col("n_chars") % 101) / 100.0,

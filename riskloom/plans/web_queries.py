@@ -32,7 +32,7 @@ _TITLE = q.strip(_unescape(f"regexp_extract_all(html, {_quoted(web.TITLE)}, 1)[1
 
 @query("page_texts", "H1 S8", f"SELECT page_id, url, coalesce({_TITLE}, '') AS title, {_visible('html', web.PAGE_NOISE)} AS text FROM pages")
 def page_texts(lake: Lake):
-    return web.page_texts(lake.texts("pages", "page_id"))
+    return web.page_texts(lake.spread("pages", "page_id"))
 
 
 _PARTS = """lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || '://' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"""
@@ -50,7 +50,7 @@ def page_links(lake: Lake):
     SELECT page_id, 'url:' || url || ':' || substr(sha1(title || chr(10) || substr(text, 1, 500)), 1, 16) AS external_id, url AS source, title, text, url FROM (
         SELECT page_id, url, coalesce({_TITLE}, url) AS title, {_visible('html', web.LINK_NOISE)} AS text FROM pages)""")
 def page_articles(lake: Lake):
-    return web.articles(lake.texts("pages", "page_id"))
+    return web.articles(lake.spread("pages", "page_id"))
 
 
 # The given pages link only from their navigation; the same links placed in the page body exercise the article path.
@@ -95,10 +95,10 @@ _WORDS = ["the", "que", "und", "Zebra"]
            CASE WHEN text <> '' THEN array_to_string(list_filter(['the', 'que', 'und', 'Zebra'], lambda k: contains(lower(text), lower(k))), '|') END AS keyword_matches
     FROM texts t LEFT JOIN models m USING (page_id)""")
 def page_checks(lake: Lake):
-    out = web.check_pages(lake.texts("pages", "page_id"), column_scorers(), _WORDS)
+    out = web.check_pages(lake.spread("pages", "page_id"), column_scorers(), _WORDS)
     return out.withColumn("keyword_matches", F.array_join("keyword_matches", "|"))
 
 
 @query("chunk_counts", "A14", f"SELECT doc_id, (length({q.strip('text')}) + 3999) // 4000 AS chunks FROM documents")
 def chunk_counts(lake: Lake):
-    return lake.texts().select("doc_id", F.size(scoring.chunks(F.col("text"))).cast("long").alias("chunks"))
+    return lake.spread().select("doc_id", F.size(scoring.chunks(F.col("text"))).cast("long").alias("chunks"))
