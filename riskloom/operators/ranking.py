@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 BUCKETS = 256
 
+# Stand-in key for a table without groups.
+WHOLE = "_whole"
+
 
 def _bucketed(counts: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
     """Add ``_bucket``: the number of approximate quantiles below the value, found by binary search."""
@@ -22,6 +25,8 @@ def _bucketed(counts: DataFrame, keys: list[str], value: str, buckets: int) -> D
     below = F.aggregate(
         F.array(*[F.lit(h) for h in halves]), F.lit(0),
         lambda i, h: F.when(F.get("_bounds", i + h - 1) < F.col(value), i + h).otherwise(i))
+    if keys == [WHOLE]:
+        bounds = F.broadcast(bounds)  # a single row
     return counts.join(bounds, keys).withColumn("_bucket", below).drop("_bounds")
 
 
@@ -148,4 +153,4 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
 
 
 def _with_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    return (df, keys) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
+    return (df, keys) if keys else (df.withColumn(WHOLE, F.lit(0)), [WHOLE])
