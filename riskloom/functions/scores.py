@@ -92,5 +92,20 @@ def report_subject(level: Column, score: Column) -> Column:
     return F.concat(F.lit("Scan report - "), F.upper(F.coalesce(level, F.lit("low"))), F.lit(" threat ("), percent_text(score), F.lit(")"))
 
 
+def report_body(user: Column, kind: Column, source: Column, level: Column, score: Column, summary: Column, keywords: Column, model: Column) -> Column:
+    """Plain text of a scan report; the model line is left out when there is no model name."""
+    lines = [
+        F.concat(F.lit("Hello "), user, F.lit(",\n")),
+        F.concat(F.lit("Your "), kind, F.lit(" scan has completed.\n")),
+        F.concat(F.lit("Source: "), source),
+        F.concat(F.lit("Threat level: "), F.upper(F.coalesce(level, F.lit("low")))),
+        F.concat(F.lit("Threat score: "), percent_text(F.coalesce(score, F.lit(0.0)))),
+        F.when(F.length(model) > 0, F.concat(F.lit("Model: "), model)),
+        F.concat(F.lit("\nSummary:\n"), F.coalesce(summary, F.lit("—")), F.lit("\n")),
+        F.concat(F.lit("Top keywords: "), report_keywords(keywords)),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
 def report_keywords(keywords: Column, k: int = 10) -> Column:
     return F.when(F.size(keywords) > 0, F.array_join(F.slice(keywords, 1, k), ", ")).otherwise(F.lit("—"))

@@ -38,19 +38,37 @@ def canonical_url(url: Column) -> Column:
 
 
 def resolve_link(base: Column, href: Column) -> Column:
-    """Absolute form of a link found on the page at ``base`` (dot segments are kept)."""
+    """Absolute form of a link found on the page at ``base``."""
     scheme, host, path = url_parts(base)
     folder = F.regexp_extract(path, r"^(.*/)", 1)
     root = F.concat(scheme, F.lit("://"), host)
-    return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+    joined = (
+        F.when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
         .when(href.startswith("/"), F.concat(root, href))
         .when(href == "", base)
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
         .when(href.startswith("?"), F.concat(root, path, href))
         .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), href))
     )
+    dotted = joined.rlike(r"^[^?#]*/\.{1,2}(/|[?#]|$)")
+    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(dotted, _without_dots(joined)).otherwise(joined)
+
+
+def _without_dots(url: Column) -> Column:
+    """The URL with ``.`` and ``..`` path segments applied."""
+    root = F.regexp_extract(url, r"^([^/]*//[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[^/]*//[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"([?#].*)$", 1)
+
+    def step(kept: Column, segment: Column) -> Column:
+        shorter = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(segment == "..", shorter).when(segment == ".", kept).otherwise(F.concat(kept, F.array(segment)))
+
+    segments = F.split(F.substr(path, F.lit(2)), "/")
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    open_end = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), open_end)
+    return F.concat(root, F.regexp_replace(clean, "//$", "/"), rest)
 
 
 def path_segments(path: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.fixed_values import ALERT_THRESHOLD, SOURCE_TYPES
 from riskloom.functions.arrays import let
-from riskloom.functions.scores import normalize_level, normalize_score
+from riskloom.functions.scores import model_scores_or_fallback, normalize_level, normalize_score
 from riskloom.functions.times import clamp, ntz
 from riskloom.operators.frames import merge_single_rows
 from riskloom.operators.ranking import first_by
@@ -70,11 +70,12 @@ def raise_alerts(items: DataFrame, sources: DataFrame, threshold: float = ALERT_
     owners = sources.select("source_id", F.col("name").alias("source_name"), "owner_id", F.col("url").alias("_url"))
     hot = items.where(is_alert(F.col("threat_score"), threshold)).join(owners, "source_id")
     body = F.coalesce("text", F.lit(""))
+    address = F.coalesce("url", "_url") if "url" in items.columns else F.col("_url")
     return hot.select(
         F.coalesce(F.when(F.length("title") > 0, F.col("title")), F.substring(body, 1, 120)).alias("title"),
         F.substring(body, 1, 1000).alias("description"),
         "threat_level", "threat_score",
-        F.col("_url").alias("source"), "source_type", "owner_id", "source_id",
+        address.alias("source"), "source_type", "owner_id", "source_id",
         F.struct("source_name", "external_id").alias("details"),
         F.lit(False).alias("is_read"), F.lit(False).alias("is_resolved"),
         F.col("collected_at").alias("created_at"),
@@ -98,6 +99,23 @@ def public_alerts(alerts: DataFrame) -> DataFrame:
     )
 
 
+def public_analyses(analyses: DataFrame) -> DataFrame:
+    """Analyses with display defaults and the model scores of old records.
+
+    Old records keep scores in ``detail_scores`` (a map) or only name a ``detail_model``.
+    """
+    scores = model_scores_or_fallback(F.col("model_scores"), F.col("detail_scores"), F.col("detail_model"), F.col("threat_score"))
+    return analyses.select(
+        "analysis_id", F.coalesce("analysis_type", F.lit("text")).alias("analysis_type"),
+        F.coalesce("status", F.lit("completed")).alias("status"), "threat_score", "threat_level", scores.alias("model_scores"), "created_at")
+
+
+def public_documents(documents: DataFrame) -> DataFrame:
+    return documents.select(
+        "document_id", "filename", "original_filename", "file_type", "file_size",
+        F.coalesce("status", F.lit("completed")).alias("status"), "created_at")
+
+
 def public_sources(sources: DataFrame) -> DataFrame:
     return sources.select(
         "source_id", "name", "url", "source_type",

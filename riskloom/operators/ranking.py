@@ -149,7 +149,7 @@ def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """First ``k`` rows per key.  The rank filter also runs before the shuffle, so each task sends at most ``k`` per key."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("rank", rank).where(F.col("rank") <= k)
+    return df.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _with_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:

@@ -115,8 +115,8 @@ def _slot_sql(window: str, seconds: float) -> str:
 
 
 @query("slot_histogram", "A8", q.with_views("alerts", _slot_sql("7 DAY", 7 * 86400 / 24) + """
-    SELECT r.slot, count_if(threat_level = 'critical') AS critical, count_if(threat_level = 'high') AS high, count_if(threat_level = 'medium') AS medium,
-           count_if(threat_level = 'low') AS low FROM (SELECT unnest(range(24)) AS slot) r LEFT JOIN w USING (slot) GROUP BY 1"""))
+    SELECT r.slot, count(*) FILTER (threat_level = 'critical') AS critical, count(*) FILTER (threat_level = 'high') AS high, count(*) FILTER (threat_level = 'medium') AS medium,
+           count(*) FILTER (threat_level = 'low') AS low FROM (SELECT unnest(range(24)) AS slot) r LEFT JOIN w USING (slot) GROUP BY 1"""))
 def slot_histogram(lake: Lake):
     return a.slot_histogram(lake.alerts(), lake.as_of, dt.timedelta(days=7))
 
@@ -132,7 +132,7 @@ def top_keywords(lake: Lake):
 
 
 @query("scan_results", "A31 R8", q.with_views("items sources", f"""
-    SELECT s.source_id, count(i.doc_id) AS fetched, count_if(i.collected_at >= {q.AS_OF} - INTERVAL 5 DAY) AS new
+    SELECT s.source_id, count(i.doc_id) AS fetched, count(*) FILTER (i.collected_at >= {q.AS_OF} - INTERVAL 5 DAY) AS new
     FROM sources s LEFT JOIN items i USING (source_id) GROUP BY 1"""))
 def scan_results(lake: Lake):
     items = lake.items()
@@ -141,7 +141,7 @@ def scan_results(lake: Lake):
 
 
 @query("scan_summary", "A31", q.with_views("items sources", f"""
-    SELECT (SELECT count(*) FROM sources) AS sources_polled, count(*) AS fetched, count_if(collected_at >= {q.AS_OF} - INTERVAL 5 DAY) AS new, CAST(0 AS BIGINT) AS failed FROM items"""))
+    SELECT (SELECT count(*) FROM sources) AS sources_polled, count(*) AS fetched, count(*) FILTER (collected_at >= {q.AS_OF} - INTERVAL 5 DAY) AS new, CAST(0 AS BIGINT) AS failed FROM items"""))
 def scan_summary(lake: Lake):
     items = lake.items()
     stored = items.where(F.col("collected_at") < m.ntz(lake.as_of - dt.timedelta(days=5)))
@@ -205,6 +205,6 @@ def daily_volume(lake: Lake):
 
 @query("channel_statistics", "A38", q.with_views("items", f"""
     SELECT source_id, count(*) AS posts, {q.rnd('avg(threat_score)')} AS avg_score, max(threat_score) AS max_score,
-           count_if(threat_level IN ('high', 'critical')) AS urgent, min(collected_at) AS first_seen, max(collected_at) AS last_seen FROM items GROUP BY 1"""))
+           count(*) FILTER (threat_level IN ('high', 'critical')) AS urgent, min(collected_at) AS first_seen, max(collected_at) AS last_seen FROM items GROUP BY 1"""))
 def channel_statistics(lake: Lake):
     return a.channel_statistics(lake.items())

@@ -38,6 +38,34 @@ def analysis_lookup(lake: Lake):
     return mine.join(first, "analysis_id", "left_semi")
 
 
+@query("public_analyses", "P6 P7", q.with_views("analyses", """
+    SELECT analysis_id, CASE WHEN analysis_type = 'rss' THEN 'text' ELSE analysis_type END AS analysis_type, CASE WHEN status = 'failed' THEN 'completed' ELSE status END AS status,
+           threat_score, threat_level, CASE WHEN analysis_type = 'document' THEN 'old=' WHEN analysis_type = 'url' THEN 'named=' ELSE 'main=' END || printf('%.4f', threat_score) AS model_scores, created_at
+    FROM analyses"""))
+def public_analyses(lake: Lake):
+    kind, score = F.col("analysis_type"), F.col("threat_score").cast("string")
+    raw = lake.analyses().select(
+        "analysis_id", F.when(kind != "rss", kind).alias("analysis_type"), F.when(F.col("status") != "failed", F.col("status")).alias("status"),
+        "threat_score", "threat_level", "created_at",
+        F.when(~kind.isin("document", "url"), F.create_map(F.lit("main"), score)).alias("model_scores"),
+        F.when(kind == "document", F.create_map(F.lit("old"), score)).alias("detail_scores"),
+        F.when(kind == "url", "named").alias("detail_model"))
+    shown = m.public_analyses(raw)
+    cells = F.transform(F.map_entries("model_scores"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"])))
+    return shown.withColumn("model_scores", F.array_join(cells, ","))
+
+
+@query("public_documents", "P6", """
+    SELECT doc_id AS document_id, doc_id || '.csv' AS filename, source || '.csv' AS original_filename, 'csv' AS file_type, n_chars AS file_size,
+           CASE WHEN doc_id % 2 = 0 THEN 'completed' ELSE 'pending' END AS status, TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM documents""")
+def public_documents(lake: Lake):
+    docs = lake.table("documents").select(
+        F.col("doc_id").alias("document_id"), F.concat("doc_id", F.lit(".csv")).alias("filename"), F.concat("source", F.lit(".csv")).alias("original_filename"),
+        F.lit("csv").alias("file_type"), F.col("n_chars").alias("file_size"), F.when(F.col("doc_id") % 2 == 1, "pending").alias("status"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"))
+    return m.public_documents(docs)
+
+
 _SEARCH_TERM = "the"
 
 

@@ -42,7 +42,7 @@ _FENCES = """
 
 @query("outliers", "A17", _features(_FENCES.format(keys="feature") + f"""
     SELECT feature, {q.rnd('q1', 6)} AS q1, {q.rnd('q3', 6)} AS q3, {q.rnd('lower', 6)} AS lower, {q.rnd('upper', 6)} AS upper,
-           count_if(value < lower OR value > upper) AS outside, count_if(value > upper) AS above, {q.rnd('count_if(value > upper) * 100 / count(*)')} AS percent_above
+           count(*) FILTER (value < lower OR value > upper) AS outside, count(*) FILTER (value > upper) AS above, {q.rnd('count(*) FILTER (value > upper) * 100 / count(*)')} AS percent_above
     FROM long JOIN fences USING (feature) GROUP BY feature, q1, q3, lower, upper"""))
 def outliers(lake: Lake):
     return p.outliers(p.feature_counts(lake.messages()))
@@ -81,7 +81,7 @@ def histograms(lake: Lake):
 @query("box_statistics", "A21", _features(_FENCES.format(keys="label, feature") + f"""
     SELECT label, feature, {q.rnd('q1', 6)} AS q1, {q.rnd('median', 6)} AS median, {q.rnd('q3', 6)} AS q3,
            {q.rnd('min(value) FILTER (value BETWEEN lower AND upper)', 6)} AS whisker_low, {q.rnd('max(value) FILTER (value BETWEEN lower AND upper)', 6)} AS whisker_high,
-           {q.rnd('avg(value)', 6)} AS mean, count_if(value NOT BETWEEN lower AND upper) AS outliers
+           {q.rnd('avg(value)', 6)} AS mean, count(*) FILTER (value NOT BETWEEN lower AND upper) AS outliers
     FROM long JOIN fences USING (label, feature) GROUP BY label, feature, q1, median, q3"""))
 def box_statistics(lake: Lake):
     return p.box_statistics(p.feature_counts(lake.messages()))
@@ -99,7 +99,7 @@ def density_curves(lake: Lake):
 
 
 @query("text_quality", "A23", q.with_views("messages", """
-    SELECT count_if(text IS NULL) AS missing_text, count_if(label IS NULL) AS missing_label, count(*) AS rows,
+    SELECT count(*) FILTER (text IS NULL) AS missing_text, count(*) FILTER (label IS NULL) AS missing_label, count(*) AS rows,
            count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, label FROM messages)) AS duplicate_rows,
            count(*) - count(DISTINCT text) AS duplicate_messages, count(DISTINCT text) AS unique_messages FROM messages"""))
 def text_quality(lake: Lake):
@@ -143,7 +143,7 @@ _LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumb
 
 
 @query("numeric_profile", "A37 A16", " UNION ALL ".join(f"""
-    SELECT '{c}' AS "column", count(*) AS rows, count_if({c} IS NULL) AS missing, count(DISTINCT {c}) AS distinct_values, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high,
+    SELECT '{c}' AS "column", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS missing, count(DISTINCT {c}) AS distinct_values, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high,
         {q.rnd(f'avg({c})')} AS mean, {q.rnd(f'quantile_cont({c}::DOUBLE, 0.25)')} AS q1, {q.rnd(f'quantile_cont({c}::DOUBLE, 0.5)')} AS median, {q.rnd(f'quantile_cont({c}::DOUBLE, 0.75)')} AS q3
     FROM lineitem""" for c in _LINE_NUM))
 def numeric_profile(lake: Lake):

@@ -228,14 +228,14 @@ def predictions(lake: Lake):
 
 
 @query("confusion_matrix", "A26", q.with_views("messages model_scores_long", _PREDICTIONS + """
-    SELECT model, label, count_if(prediction = 'EXTREMIST') AS "predicted_EXTREMIST", count_if(prediction = 'NON_EXTREMIST') AS "predicted_NON_EXTREMIST" FROM predictions GROUP BY model, label"""))
+    SELECT model, label, count(*) FILTER (prediction = 'EXTREMIST') AS "predicted_EXTREMIST", count(*) FILTER (prediction = 'NON_EXTREMIST') AS "predicted_NON_EXTREMIST" FROM predictions GROUP BY model, label"""))
 def confusion_matrix(lake: Lake):
     return ev.confusion(predictions(lake), LABELS, ["model"])
 
 
 _REPORT = _PREDICTIONS + """
     , names AS (SELECT unnest(['EXTREMIST', 'NON_EXTREMIST']) AS name),
-      base AS (SELECT model, name, count_if(label = name) AS support, count_if(label = name AND prediction = name) AS hit, count_if(prediction = name) AS said
+      base AS (SELECT model, name, count(*) FILTER (label = name) AS support, count(*) FILTER (label = name AND prediction = name) AS hit, count(*) FILTER (prediction = name) AS said
                FROM (SELECT p.*, unnest(['EXTREMIST', 'NON_EXTREMIST']) AS name FROM predictions p) GROUP BY model, name),
       pr AS (SELECT *, coalesce(hit / nullif(said, 0), 0) AS precision, coalesce(hit / nullif(support, 0), 0) AS recall FROM base),
       report AS (SELECT model, name, support, hit, precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM pr)
@@ -262,7 +262,7 @@ def report_averages(lake: Lake):
 
 @query("roc_auc", "A28 W6", q.with_views("messages model_scores_long", _PREDICTIONS + f"""
     , ranks AS (SELECT model, label, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2 AS r FROM predictions)
-    SELECT model, {q.rnd("(sum(r) FILTER (label = 'EXTREMIST') - count_if(label = 'EXTREMIST') * (count_if(label = 'EXTREMIST') + 1) / 2) / (count_if(label = 'EXTREMIST') * count_if(label <> 'EXTREMIST'))", 6)} AS auc
+    SELECT model, {q.rnd("(sum(r) FILTER (label = 'EXTREMIST') - count(*) FILTER (label = 'EXTREMIST') * (count(*) FILTER (label = 'EXTREMIST') + 1) / 2) / (count(*) FILTER (label = 'EXTREMIST') * count(*) FILTER (label <> 'EXTREMIST'))", 6)} AS auc
     FROM ranks GROUP BY model"""))
 def roc_auc(lake: Lake):
     return ev.rounded(ev.roc_auc(predictions(lake), "EXTREMIST", ["model"]), 6)
@@ -282,7 +282,7 @@ def mid_ranks(lake: Lake):
 
 _FOLD_SQL = _RANKED + ", " + _PREDICTIONS.strip().lstrip(",") + f"""
     , fp AS (SELECT p.*, CAST(r.r % 5 AS INT) AS fold FROM predictions p JOIN ranked r USING (doc_id)),
-      base AS (SELECT model, fold, name, count_if(label = name) AS support, count_if(label = name AND prediction = name) AS hit, count_if(prediction = name) AS said
+      base AS (SELECT model, fold, name, count(*) FILTER (label = name) AS support, count(*) FILTER (label = name AND prediction = name) AS hit, count(*) FILTER (prediction = name) AS said
                FROM (SELECT p.*, unnest(['EXTREMIST', 'NON_EXTREMIST']) AS name FROM fp p) GROUP BY model, fold, name),
       pr AS (SELECT *, coalesce(hit / nullif(said, 0), 0) AS precision, coalesce(hit / nullif(support, 0), 0) AS recall FROM base WHERE support + said > 0),
       report AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM pr),
@@ -311,7 +311,7 @@ def best_model(lake: Lake):
 
 @query("leaderboard", "J10 A30", q.with_views("messages model_scores_long", _FOLD_SQL + f"""
     SELECT model, accuracy_mean, weighted_f1_mean, NULL::DOUBLE AS auc FROM summary
-    UNION ALL SELECT model || ' (ranking)', NULL, NULL, {q.rnd("(sum(r) FILTER (label = 'EXTREMIST') - count_if(label = 'EXTREMIST') * (count_if(label = 'EXTREMIST') + 1) / 2) / (count_if(label = 'EXTREMIST') * count_if(label <> 'EXTREMIST'))", 6)}
+    UNION ALL SELECT model || ' (ranking)', NULL, NULL, {q.rnd("(sum(r) FILTER (label = 'EXTREMIST') - count(*) FILTER (label = 'EXTREMIST') * (count(*) FILTER (label = 'EXTREMIST') + 1) / 2) / (count(*) FILTER (label = 'EXTREMIST') * count(*) FILTER (label <> 'EXTREMIST'))", 6)}
     FROM (SELECT model, label, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2 AS r FROM predictions) GROUP BY model"""))
 def leaderboard(lake: Lake):
     first = _cv_summary(lake).select("model", "accuracy_mean", "weighted_f1_mean")

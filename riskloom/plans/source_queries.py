@@ -53,7 +53,7 @@ def json_text(lake: Lake):
     return lake.table("conversations").select("conv_id", "turn", files.json_text(body).alias("text"))
 
 
-@query("text_files", "S4", "SELECT source, sum(length(text) + 1) AS chars FROM documents GROUP BY source")
+@query("text_files", "S4", "SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY source")
 def text_files(lake: Lake):
     folder = shared_dir(lake.spark, "text-files")
     lake.table("documents").select("source", "text").write.partitionBy("source").text(folder)

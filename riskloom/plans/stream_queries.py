@@ -95,7 +95,7 @@ def _snapshot(lake: Lake, name: str, table: DataFrame, build) -> DataFrame:
 
 @query("live_metrics", "R5 A1 A2 A5", q.with_views("analyses", f"""
     SELECT user_id, count(*) AS total_analyses, {q.rnd("coalesce(avg(threat_score) FILTER (status = 'completed'), 0)")} AS avg_threat_score,
-           count_if(analysis_type = 'document') AS upload, count_if(analysis_type = 'text') AS text FROM analyses GROUP BY user_id"""))
+           count(*) FILTER (analysis_type = 'document') AS upload, count(*) FILTER (analysis_type = 'text') AS text FROM analyses GROUP BY user_id"""))
 def live_metrics(lake: Lake):
     return _snapshot(lake, "live-metrics", lake.analyses(), live.user_metrics)
 

@@ -239,6 +239,21 @@ def summaries(lake: Lake):
         scores.report_keywords(F.coalesce("keywords", none)).alias("keywords"))
 
 
+@query("report_texts", "P16 F11 F12", q.with_views("doc_keywords model_scores", f"""
+    , kw AS (SELECT doc_id, string_agg(keyword, ', ' ORDER BY rank) AS keywords FROM doc_keywords WHERE rank <= 10 GROUP BY doc_id)
+    SELECT doc_id, 'Hello reader,' || chr(10) || chr(10) || 'Your text scan has completed.' || chr(10) || chr(10) || 'Source: Text input: "' || CASE WHEN length(flat) > 80 THEN substr(flat, 1, 80) || '…' ELSE flat END || '"' || chr(10)
+        || 'Threat level: ' || upper({q.level('hash_score')}) || chr(10) || 'Threat score: ' || printf('%.1f', round(hash_score * 100 + 1e-9, 1)) || '%' || chr(10)
+        || CASE WHEN doc_id % 2 = 0 THEN 'Model: hash' || chr(10) ELSE '' END || chr(10) || 'Summary:' || chr(10) || '—' || chr(10) || chr(10) || 'Top keywords: ' || coalesce(keywords, '—') AS body
+    FROM (SELECT doc_id, hash_score, replace({q.strip('text')}, chr(10), ' ') AS flat FROM documents JOIN model_scores USING (doc_id)) LEFT JOIN kw USING (doc_id)"""))
+def report_texts(lake: Lake):
+    score = F.pmod(F.col("doc_id") * 37, F.lit(101)) / 100.0
+    label = F.concat(F.lit('Text input: "'), text.snippet(F.col("text")), F.lit('"'))
+    body = scores.report_body(
+        F.lit("reader"), F.lit("text"), label, scores.level_of(score), score, F.lit(None).cast("string"), text.top_keywords(F.col("text")),
+        F.when(F.col("doc_id") % 2 == 0, "hash").otherwise(""))
+    return lake.spread().select("doc_id", body.alias("body"))
+
+
 @query("highlight", "P17", q.with_views("items source_keywords", r"""
     SELECT i.doc_id, regexp_replace(i.text, '(?i)(' || array_to_string(list_transform(k.keywords, lambda x: regexp_replace(x, '([.*+?^${}()|\[\]\\])', '\\\1', 'g')), '|') || ')',
            '<mark>\1</mark>', 'g') AS marked
@@ -272,7 +287,7 @@ def language(lake: Lake):
 
 
 @query("language_accuracy", "T15", f"""
-    SELECT lang, count(*) AS n, count_if(lang = CASE WHEN best.h < 0 THEN best.lang ELSE 'unknown' END) AS correct
+    SELECT lang, count(*) AS n, count(*) FILTER (lang = CASE WHEN best.h < 0 THEN best.lang ELSE 'unknown' END) AS correct
     FROM (SELECT doc_id, lang, list_sort([{_LANG_HITS}])[1] AS best FROM (SELECT doc_id, lang, {q.tokens('text')} AS ts FROM documents)) GROUP BY lang""")
 def language_accuracy(lake: Lake):
     found = lake.spread().select("lang", text.detect_language(F.col("text")).alias("detected"))

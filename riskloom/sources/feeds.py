@@ -39,7 +39,7 @@ def feed_items(entries: DataFrame, source_type: str, block: Column, order: str =
     title = F.coalesce(present(e["title"]), empty)
     summary = F.coalesce(present(e["description"]), present(e["summary"]), empty)
     link = F.coalesce(present(e["link"]), F.col("feed"))
-    published = F.coalesce(e["pubDate"], e["updated"])
+    published = F.coalesce(present(e["pubDate"]), e["updated"])
     guid = F.coalesce(present(e["guid"]), present(e["id"]), link, title)
     kind = F.lit(source_type)
     return kept.select(

@@ -136,6 +136,8 @@ def test_canonical_and_links(spark):
     assert run(spark, ["HTTPS://h.example/a/b/?q=1#f", "http://h.example/"], urls.canonical_url) == ["https://h.example/a/b", "http://h.example"]
     base = F.lit("https://h.example/a/b?q=1")
     got = run(spark, ["/c", "c", "//o.example/x", "?z=2", "#top", "mailto:me"], lambda c: urls.resolve_link(base, c))
+    dotted = run(spark, ["../c", "./d?x=../y", "../../../e/./f/..", "g/.."], lambda c: urls.resolve_link(base, c))
+    assert dotted == ["https://h.example/c", "https://h.example/a/d?x=../y", "https://h.example/e/", "https://h.example/a/"]
     assert got == ["https://h.example/c", "https://h.example/a/c", "https://o.example/x", "https://h.example/a/b?z=2", "https://h.example/a/b?q=1#top", "mailto:me"]
 
 
