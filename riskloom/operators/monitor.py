@@ -11,7 +11,7 @@ from riskloom.fixed_values import ALERT_THRESHOLD, SOURCE_TYPES
 from riskloom.functions.arrays import let
 from riskloom.functions.scores import model_scores_or_fallback, normalize_level, normalize_score
 from riskloom.functions.times import clamp, ntz
-from riskloom.operators.frames import merge_single_rows
+from riskloom.operators.frames import join_dimension, merge_single_rows
 from riskloom.operators.ranking import first_by
 
 # Two collected items are the same when these agree.
@@ -40,7 +40,7 @@ def recent_items(items: DataFrame, sources: DataFrame, as_of: dt.datetime, days:
     """Items of the given sources, newest first, with source attributes and display defaults."""
     fresh = since(items.where(F.col("source_type").isin(*SOURCE_TYPES)), "collected_at", as_of, days)
     named = sources.select("source_id", F.col("name").alias("source_name"), F.col("source_type").alias("_type"))
-    joined = fresh.join(named, "source_id").select(
+    joined = join_dimension(fresh, named, "source_id").select(
         "doc_id", "source_id", "source_name", F.col("_type").alias("source_type"),
         F.coalesce(F.when(F.length("title") > 0, F.col("title")), F.lit("(untitled)")).alias("title"),
         F.coalesce("threat_level", F.lit("low")).alias("threat_level"),
@@ -68,7 +68,7 @@ def is_alert(score: Column, threshold: float = ALERT_THRESHOLD) -> Column:
 def raise_alerts(items: DataFrame, sources: DataFrame, threshold: float = ALERT_THRESHOLD) -> DataFrame:
     """Alert rows for items at or above the threshold, attributed to the source's owner."""
     owners = sources.select("source_id", F.col("name").alias("source_name"), "owner_id", F.col("url").alias("_url"))
-    hot = items.where(is_alert(F.col("threat_score"), threshold)).join(owners, "source_id")
+    hot = join_dimension(items.where(is_alert(F.col("threat_score"), threshold)), owners, "source_id")
     body = F.coalesce("text", F.lit(""))
     address = F.coalesce("url", "_url") if "url" in items.columns else F.col("_url")
     return hot.select(
@@ -179,12 +179,12 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def of_sources(items: DataFrame, sources: DataFrame) -> DataFrame:
-    return items.join(sources.select("source_id"), "source_id", "left_semi")
+    return join_dimension(items, sources.select("source_id"), "source_id", "left_semi")
 
 
 def keyword_hits(texts: DataFrame, keywords_by_source: DataFrame) -> DataFrame:
     """The watch words of each row's own source that occur in its text, case-insensitively."""
-    joined = texts.join(keywords_by_source.select("source_id", "keywords"), "source_id")
+    joined = join_dimension(texts, keywords_by_source.select("source_id", "keywords"), "source_id")
     return joined.withColumn("matches", contained_keywords(F.col("text"), F.col("keywords"))).drop("keywords")
 
 
@@ -225,7 +225,7 @@ def reset_owner(alerts: DataFrame, items: DataFrame, sources: DataFrame, owner)
     """Remaining alerts, remaining items, and one row with both deletion counts."""
     mine = owned(sources, owner).select("source_id")
     kept_alerts = alerts.where(F.col("owner_id") != owner)
-    kept_items = items.join(mine, "source_id", "left_anti")
+    kept_items = join_dimension(items, mine, "source_id", "left_anti")
     counts = merge_single_rows(
         owned(alerts, owner).agg(F.count("*").alias("alerts_deleted")),
         of_sources(items, mine).agg(F.count("*").alias("items_deleted")),

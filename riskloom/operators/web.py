@@ -76,41 +76,53 @@ class _LinkParser(HTMLParser):
         self.open: list[tuple[str, dict | None]] = []
         self.links: list[dict] = []
         self.waiting: list[dict] = []
+        self.hidden = self.inside = 0
+        self.headings: list[dict] = []
+        self.texts: list[list[str]] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in self.VOID:
             return
-        node = {"text": []}
-        if not self._hidden():
-            if tag == "a" and dict(attrs).get("href") is not None:
-                node.update(
-                    href=(dict(attrs)["href"] or "").strip(),
-                    inside=any(t in CONTAINERS for t, _ in self.open),
-                    heading=next((n for t, n in reversed(self.open) if t in HEADINGS), None),
-                    paragraph=None,
-                )
+        node = None
+        if not self.hidden and (tag == "a" or tag == "p" or tag in HEADINGS):
+            node = {"text": []}
+            self.texts.append(node["text"])
+            href = dict(attrs).get("href") if tag == "a" else None
+            if href is not None:
+                heading = self.headings[-1] if self.headings else None
+                node.update(href=href.strip(), inside=self.inside > 0, heading=heading, paragraph=None)
                 self.links.append(node)
                 self.waiting.append(node)
             elif tag == "p":
                 for link in self.waiting:
                     link["paragraph"] = node
                 self.waiting = []
+            elif tag in HEADINGS:
+                self.headings.append(node)
+        self.hidden += tag in LINK_NOISE
+        self.inside += tag in CONTAINERS
         self.open.append((tag, node))
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
+        if not any(name == tag for name, _ in self.open):
+            return
+        while True:
+            name, node = self.open.pop()
+            self.hidden -= name in LINK_NOISE
+            self.inside -= name in CONTAINERS
+            if node is not None:
+                self.texts.pop()
+                if name in HEADINGS:
+                    self.headings.pop()
+            if name == tag:
                 return
 
     def handle_data(self, data):
-        piece = data.strip()
-        if piece and not self._hidden():
-            for _, node in self.open:
-                node["text"].append(piece)
-
-    def _hidden(self) -> bool:
-        return any(t in LINK_NOISE for t, _ in self.open)
+        if self.texts and not self.hidden:
+            piece = data.strip()
+            if piece:
+                for text in self.texts:
+                    text.append(piece)
 
 
 def _link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,27 +164,28 @@ def article_links(candidates: DataFrame, limit: int = ARTICLES_PER_PAGE) -> Data
 
 
 def articles(pages: DataFrame, limit: int = ARTICLES_PER_PAGE) -> DataFrame:
-    """Article items of each page; a page without any yields itself as one item."""
-    found = article_links(link_candidates(pages), limit)
+    """Article items of each page; a page without any yields itself as one item.
+
+    Links are parsed once: pages meet their articles in a left join, and only
+    unmatched pages have their whole text extracted.
+    """
     snippet = F.substring("paragraph", 1, 400)
     body = F.when(F.length(snippet) > 0, F.concat("full_title", F.lit("\n\n"), snippet)).otherwise(F.col("full_title"))
-    items = found.select(
-        "page_id", article_id(F.col("canonical")).alias("external_id"), F.col("url").alias("source"),
-        F.substring("full_title", 1, 300).alias("title"), strip(body).alias("text"), F.col("canonical").alias("url"))
-    return items.unionByName(whole_pages(pages.join(items.select("page_id").distinct(), "page_id", "left_anti")))
-
-
-def whole_pages(pages: DataFrame) -> DataFrame:
-    """Each page as one item, identified by address and content."""
-    shaped = pages.select(
-        "page_id", "url", F.coalesce(page_title(F.col("html")), F.col("url")).alias("title"), visible_text(F.col("html"), LINK_NOISE).alias("text"))
-    return shaped.select(
-        "page_id", page_id(F.col("url"), F.col("title"), F.col("text")).alias("external_id"), F.col("url").alias("source"), "title", "text", "url")
+    found = article_links(link_candidates(pages), limit).select(
+        "page_id", "canonical", F.substring("full_title", 1, 300).alias("full_title"), strip(body).alias("body"))
+    joined = pages.select("page_id", F.col("url").alias("source"), "html").join(found, "page_id", "left")
+    lone = F.col("canonical").isNull()
+    shaped = joined.select(
+        "page_id", "source", "canonical",
+        F.when(lone, F.coalesce(page_title(F.col("html")), F.col("source"))).otherwise(F.col("full_title")).alias("title"),
+        F.when(lone, visible_text(F.col("html"), LINK_NOISE)).otherwise(F.col("body")).alias("text"))
+    identity = F.when(lone, page_id(F.col("source"), F.col("title"), F.col("text"))).otherwise(article_id(F.col("canonical")))
+    return shaped.select("page_id", identity.alias("external_id"), "source", "title", "text", F.coalesce("canonical", "source").alias("url"))
 
 
 def check_pages(pages: DataFrame, scorers: list, keywords: list[str]) -> DataFrame:
     """Status, score and keyword matches of each page."""
-    texts = page_texts(pages.withColumn("html", F.col("html")))
+    texts = page_texts(pages)
     scored = classify(texts, "text", scorers)
     words = F.array(*[F.lit(k) for k in keywords]) if keywords else F.array().cast("array<string>")
     status = F.when(F.col("text").isNull(), "error").when(F.col("text") == "", "empty").otherwise("checked")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scores import level_of
 from riskloom.operators import monitor as m
+from riskloom.operators.frames import join_dimension
 from riskloom.operators.ranking import first_by
 from riskloom.plans import sql as q
 from riskloom.plans.registry import query
@@ -102,7 +103,7 @@ def recent_items(lake: Lake):
     SELECT i.doc_id, s.name, s.source_type, s.owner_id, i.threat_score FROM items i JOIN sources s USING (source_id)"""))
 def items_with_source(lake: Lake):
     sources = lake.sources().select("source_id", "name", "source_type", "owner_id")
-    return lake.items().select("doc_id", "source_id", "threat_score").join(sources, "source_id").drop("source_id")
+    return join_dimension(lake.items().select("doc_id", "source_id", "threat_score"), sources, "source_id").drop("source_id")
 
 
 @query("new_items", "J2 P14 W2", q.with_views("items", f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.fixed_values import LANGUAGE_WORDS, THREAT_LABELS, THREAT_TOKENS
 from riskloom.functions import arrays, scores, text, times, urls
-from riskloom.operators.frames import explode_once
+from riskloom.operators.frames import explode_once, join_dimension
 from riskloom.operators.profile import with_features
 from riskloom.plans import sql as q
 from riskloom.plans.registry import query
@@ -260,7 +260,7 @@ def report_texts(lake: Lake):
     FROM items i JOIN source_keywords k USING (source_id)"""))
 def highlight(lake: Lake):
     items = lake.items().select("doc_id", "source_id", "text")
-    return items.join(lake.source_keywords().select("source_id", "keywords"), "source_id").select(
+    return join_dimension(items, lake.source_keywords().select("source_id", "keywords"), "source_id").select(
         "doc_id", text.highlight(F.col("text"), F.col("keywords")).alias("marked"))
 
 
