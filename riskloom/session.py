@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
 import uuid
 
@@ -27,6 +27,11 @@ def build_session(app: str = "riskloom", master: str | None = None, shuffle_part
     )
 
 
+@functools.cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="riskloom-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
@@ -38,7 +43,5 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        base = os.path.join(tempfile.mkdtemp(prefix="riskloom-"), "shared")
-        os.makedirs(base, exist_ok=True)
-        spark.conf.set(CHECKPOINT_CONF, base)
+        base = _local_base()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -155,3 +155,6 @@ def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Cluster(), "x")
+    monkeypatch.setattr(Context, "master", "local[2]")
+    first, second = session.shared_dir(Cluster(), "x"), session.shared_dir(Cluster(), "x")
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
