@@ -15,6 +15,7 @@ EPOCH = dt.datetime(1970, 1, 1)
 
 
 def _instant(ts: Column) -> Column:
+    """Watermarks need instants; the session zone is UTC, so the wall time is kept."""
     return ts.cast("timestamp")
 
 
