@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, language_id, line_dedup, pii, quality, sentencepieces, simhash, token_counts
+from riskloom.llm import decontaminate, language_id, line_dedup, pii, quality, sentencepieces, simhash, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_report(_table(spark, folder, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = suffix_dedup.suffix_dedup(_table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = line_dedup.dedup_lines(_table(spark, folder, "documents").select("doc_id", "text"))
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -112,5 +117,5 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_language_id, op3_sentencepiece, op4_token_counts, op5_pii, op7_line_dedup, op8_quality_rules, op9_decontamination, op10_simhash)}
+    op2_language_id, op3_sentencepiece, op4_token_counts, op5_pii, op6_suffix_dedup, op7_line_dedup, op8_quality_rules, op9_decontamination, op10_simhash)}
 SQL = {"op7_line_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL}
