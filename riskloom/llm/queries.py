@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, language_id, line_dedup, pii, quality, sentencepieces, simhash, suffix_dedup, token_counts
+from riskloom.llm import decontaminate, language_id, line_dedup, lm_scoring, pii, quality, sentencepieces, simhash, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    done = lm_scoring.lm_scores(docs, language_id.fold(F.col("doc_id"), 5) != 1)
+    return done.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = language_id.fold(F.col("doc_id"), 3) == 1
@@ -117,5 +123,5 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_language_id, op3_sentencepiece, op4_token_counts, op5_pii, op6_suffix_dedup, op7_line_dedup, op8_quality_rules, op9_decontamination, op10_simhash)}
+    op1_lm_scoring, op2_language_id, op3_sentencepiece, op4_token_counts, op5_pii, op6_suffix_dedup, op7_line_dedup, op8_quality_rules, op9_decontamination, op10_simhash)}
 SQL = {"op7_line_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL}
