@@ -37,7 +37,8 @@ SAMPLE_PER_LANGUAGE = 1200  # documents learned from, per language, about
 SEGMENTS = 4  # segments taken from each of them
 SEGMENT_WORDS = 24
 LONGEST_WORD = 200  # bytes; longer words are not learned from
-EPOCHS = 4
+EPOCHS = 4  # at least, and
+LEAST_STEPS = 800  # batches in any case
 ACCURACY = 0.99  # wanted among accepted segments
 
 
@@ -91,8 +92,10 @@ def train(segments: list[str], labels: list[str], seed: int = 11) -> Model:
     held, learned = usable[: len(usable) // 5], usable[len(usable) // 5:]
     table = rng.normal(0, 1 / DIMENSION, (BUCKETS, DIMENSION))
     layer, bias = np.zeros((DIMENSION, len(languages))), np.zeros(len(languages))
-    total, done, size = EPOCHS * len(learned), 0, 32
-    for _ in range(EPOCHS):
+    size, done = 32, 0
+    epochs = max(EPOCHS, -(-LEAST_STEPS * size // max(1, len(learned))))
+    total = epochs * len(learned)
+    for _ in range(epochs if len(learned) else 0):
         learned = rng.permutation(learned)
         for at in range(0, len(learned), size):
             part = learned[at: at + size]
