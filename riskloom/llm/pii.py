@@ -79,13 +79,13 @@ def _digits(match: Column) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """Whether the Luhn sum of a digit string is a multiple of ten."""
-    values = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(
-        F.when(d.cast("int") > 4, 2 * d.cast("int") - 9).otherwise(2 * d.cast("int"))))
+    numbers = F.transform(F.split(F.reverse(digits), ""), lambda d: d.try_cast("int"))
+    values = F.transform(numbers, lambda d, i: F.when(i % 2 == 0, d).otherwise(F.when(d > 4, 2 * d - 9).otherwise(2 * d)))
     return F.coalesce(F.aggregate(values, F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0))) % 10 == 0, F.lit(False))
 
 
 def _octets(match: Column) -> Column:
-    return F.forall(F.split(match, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255))
+    return F.forall(F.split(match, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(p, F.lit(3)).try_cast("int") <= 255))
 
 
 def _valid(kind: Column, match: Column) -> Column:
