@@ -62,3 +62,7 @@ RISK_LEXICON = (
     ("fraud", "laundering"), ("fraud", "scam"), ("fraud", "phishing"),
     ("abuse", "hate"), ("abuse", "threat"), ("abuse", "harass"),
 )
+
+# Summaries of texts that were not classified.
+NO_CONTENT = "No content to analyze."
+NO_CLASSIFIER = "ML classifier unavailable (no scorer could run). No reliable threat score could be produced."

@@ -40,15 +40,6 @@ def explode_once(df: DataFrame, columns: list, array: Column, name: str) -> Data
     return df.select(*columns, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
-# A dimension of at most this many rows is sent to every executor.
-BROADCAST_ROWS = 100_000
-
-
 def join_dimension(facts: DataFrame, dimension: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join wide rows with a dimension without moving the rows when the dimension is small.
-
-    The dimension is counted first (up to the bound).  A larger one is joined
-    by the optimizer's choice, where skewed keys are split at run time.
-    """
-    small = dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return facts.join(F.broadcast(dimension) if small else dimension, key, how)
+    """Join wide rows with a dimension; its size in bytes decides the strategy, at planning or at run time."""
+    return facts.join(dimension, key, how)

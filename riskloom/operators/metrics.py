@@ -42,7 +42,7 @@ def analysis_metrics(analyses: DataFrame, user, as_of: dt.datetime) -> DataFrame
 
 def alert_metrics(alerts: DataFrame, owner) -> DataFrame:
     """All alerts, and the unresolved ones per level."""
-    open_alert = ~F.col("is_resolved")
+    open_alert = ~F.coalesce("is_resolved", F.lit(False))
     per_level = [F.count_if(open_alert & (F.col("threat_level") == lvl)).alias(f"{lvl}_alerts") for lvl in LEVELS]
     return owned(alerts, owner).agg(F.count("*").alias("total_alerts"), *per_level)
 
@@ -104,7 +104,7 @@ def daily_trend(items: DataFrame, sources: DataFrame, as_of: dt.datetime, days:
 def severity_mix(alerts: DataFrame) -> DataFrame:
     """Open alerts per level, all four levels present, with the rounded percentage."""
     lvl = normalize_level(F.col("threat_level"))
-    row = alerts.where(~F.col("is_resolved")).agg(
+    row = alerts.where(~F.coalesce("is_resolved", F.lit(False))).agg(
         F.count("*").alias("_total"), *[F.count_if(lvl == name).alias(name) for name in LEVELS])
     long = row.unpivot(["_total"], list(LEVELS), "threat_level", "n")
     share = F.floor(F.col("n") * 100 / F.nullif(F.col("_total"), F.lit(0)) + 0.5)
@@ -194,7 +194,8 @@ def donut(alert_row: DataFrame) -> DataFrame:
 def open_counts(alerts: DataFrame, sources: DataFrame) -> DataFrame:
     """Unread open alerts, open alerts, and whether there are sources and all are active."""
     left = alerts.agg(
-        F.count_if(~F.col("is_read") & ~F.col("is_resolved")).alias("unread_open"), F.count_if(~F.col("is_resolved")).alias("open"))
+        F.count_if(~F.coalesce("is_read", F.lit(False)) & ~F.coalesce("is_resolved", F.lit(False))).alias("unread_open"),
+        F.count_if(~F.coalesce("is_resolved", F.lit(False))).alias("open"))
     right = sources.agg(F.coalesce(F.every("is_active"), F.lit(False)).alias("all_active"))
     return merge_single_rows(left, right)
 

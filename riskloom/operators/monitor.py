@@ -73,7 +73,7 @@ def raise_alerts(items: DataFrame, sources: DataFrame, threshold: float = ALERT_
     address = F.coalesce("url", "_url") if "url" in items.columns else F.col("_url")
     return hot.select(
         F.coalesce(F.when(F.length("title") > 0, F.col("title")), F.substring(body, 1, 120)).alias("title"),
-        F.substring(body, 1, 1000).alias("description"),
+        body.alias("description"),
         "threat_level", "threat_score",
         address.alias("source"), "source_type", "owner_id", "source_id",
         F.struct("source_name", "external_id").alias("details"),
@@ -218,13 +218,13 @@ def touch(sources: DataFrame, polled: DataFrame) -> DataFrame:
 
 
 def delete_source(sources: DataFrame, source_id: str, owner) -> DataFrame:
-    return sources.where(~((F.col("source_id") == source_id) & (F.col("owner_id") == owner)))
+    return sources.where(~(F.col("source_id").eqNullSafe(F.lit(source_id)) & F.col("owner_id").eqNullSafe(F.lit(owner))))
 
 
 def reset_owner(alerts: DataFrame, items: DataFrame, sources: DataFrame, owner) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Remaining alerts, remaining items, and one row with both deletion counts."""
     mine = owned(sources, owner).select("source_id")
-    kept_alerts = alerts.where(F.col("owner_id") != owner)
+    kept_alerts = alerts.where(~F.col("owner_id").eqNullSafe(F.lit(owner)))
     kept_items = join_dimension(items, mine, "source_id", "left_anti")
     counts = merge_single_rows(
         owned(alerts, owner).agg(F.count("*").alias("alerts_deleted")),

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.fixed_values import CHUNK_CHARS, TOP_KEYWORDS
+from riskloom.fixed_values import CHUNK_CHARS, NO_CLASSIFIER, NO_CONTENT, TOP_KEYWORDS
 from riskloom.functions.arrays import argmax_entry, let
 from riskloom.functions.scores import ensemble_mean, level_of, round_tie_up, summary_text, threat_from_labels
 from riskloom.functions.text import detect_language, keyword_tokens, strip, top_keywords, word_count
@@ -168,12 +168,12 @@ def analyze(df: DataFrame, text: str, scorers: list, k: int = TOP_KEYWORDS) -> D
     body = F.col(text)
     blank = F.length(strip(body)) == 0
     out = classify(df, text, scorers)
-    summary = F.when(F.col("method") == "unavailable", "No classifier available. No reliable threat score could be produced.").otherwise(
+    summary = F.when(F.col("method") == "unavailable", NO_CLASSIFIER).otherwise(
         summary_text(F.col("threat_level"), F.col("threat_score"), F.col("top_label")))
     return (
         out.withColumn("threat_score", F.when(blank, 0.0).otherwise(F.col("threat_score")))
         .withColumn("threat_level", F.when(blank, "low").otherwise(F.col("threat_level")))
-        .withColumn("summary", F.when(blank, "").otherwise(summary))
+        .withColumn("summary", F.when(blank, NO_CONTENT).otherwise(summary))
         .withColumn("keywords", top_keywords(body, k))
         .withColumn("language", detect_language(body))
         .withColumn("word_count", word_count(body))
@@ -187,10 +187,10 @@ def numbered_rows(rows: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def score_rows(rows: DataFrame, scorers: list, limit: int | None = None) -> DataFrame:
-    """Row results of message tables: number, display text, score, level and model scores."""
+    """Row results of message tables: number, message, score, level and model scores."""
     scored = classify(numbered_rows(rows, limit), "message", scorers)
     return scored.select(
-        "document_id", "row", F.substring("message", 1, 300).alias("message"), "threat_score", "threat_level", "model_scores")
+        "document_id", "row", "message", "threat_score", "threat_level", "model_scores")
 
 
 def roll_up(rows: DataFrame, scorers: list) -> DataFrame:

@@ -131,7 +131,7 @@ def nonempty_items(lake: Lake):
 
 
 @query("raised_alerts", "P11 P12 J8", q.with_views("items sources", """
-    SELECT i.title, substr(i.text, 1, 1000) AS description, i.threat_level, i.threat_score, s.url AS source, i.source_type, s.owner_id,
+    SELECT i.title, i.text AS description, i.threat_level, i.threat_score, s.url AS source, i.source_type, s.owner_id,
            i.source_id, s.name AS source_name, i.external_id, false AS is_read, false AS is_resolved, i.collected_at AS created_at
     FROM items i JOIN sources s USING (source_id) WHERE i.threat_score >= 0.6"""))
 def raised_alerts(lake: Lake):

@@ -106,7 +106,7 @@ def first_rows(lake: Lake):
 
 
 @query("row_results", "T16 S1", q.with_views("message_rows", ", " + _ROWS + _scored("numbered", "document_id, row, message", "message") + f"""
-    SELECT document_id, row, substr(message, 1, 300) AS message, {q.rnd('mean')} AS threat_score, {q.level('mean')} AS threat_level, letters_e, letters_n FROM models"""))
+    SELECT document_id, row, message, {q.rnd('mean')} AS threat_score, {q.level('mean')} AS threat_level, letters_e, letters_n FROM models"""))
 def row_results(lake: Lake):
     out = sc.score_rows(lake.message_rows(), column_scorers())
     each = [F.col("model_scores")[s].alias(s) for s in ("letters_e", "letters_n")]

@@ -40,7 +40,7 @@ def csv_text_lines(lake: Lake):
     table = lake.table("conversations").select("conv_id", "role", flat.alias("body"), "turn")
     table.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
     spark = lake.spark
-    lines = files.csv_lines(spark, folder, limit=2**31 - 1)
+    lines = files.csv_lines(spark, folder)
     return lines.groupBy("line").agg(F.count("*").alias("n"))
 
 

@@ -42,8 +42,8 @@ def numbered_messages(table: DataFrame, limit: int | None = None) -> DataFrame:
     return indexed.select("document_id", "pos", (F.col("pos") + 2).alias("row"), "message")
 
 
-def csv_lines(spark: SparkSession, path: str, limit: int = 5000) -> DataFrame:
-    """(document_id, pos, line): non-null text cells of the first rows of each file, joined by blanks."""
+def csv_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """(document_id, pos, line): non-null text cells of the rows of each file (the first ``limit`` if given), joined by blanks."""
     typed = spark.read.option("header", True).option("inferSchema", True).option("mode", "PERMISSIVE").csv(path)
     names = [f"`{f.name}`" for f in typed.schema.fields if isinstance(f.dataType, StringType)]
     rows = _with_place(typed).select("document_id", "block", "seq", F.concat_ws(" ", *names).alias("line"))
@@ -51,15 +51,15 @@ def csv_lines(spark: SparkSession, path: str, limit: int = 5000) -> DataFrame:
     return indexed.select("document_id", "pos", "line")
 
 
-def joined_lines(lines: DataFrame, limit: int = 5000) -> DataFrame:
-    """One text per document out of its first ``limit`` lines; the limit bounds what one row holds."""
-    kept = lines.where(F.col("pos") < limit)
+def joined_lines(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """One text per document out of its lines, or its first ``limit``; for files whose text fits a row."""
+    kept = lines if limit is None else lines.where(F.col("pos") < limit)
     ordered = F.sort_array(F.collect_list(F.struct("pos", "line")))
     return kept.groupBy("document_id").agg(F.array_join(F.transform(ordered, lambda e: e["line"]), "\n").alias("text"))
 
 
-def _string_leaves(value, depth: int, max_depth: int) -> list[str]:
-    if depth > max_depth:
+def _string_leaves(value, depth: int, max_depth: int | None) -> list[str]:
+    if max_depth is not None and depth > max_depth:
         return []
     if isinstance(value, str):
         return [value]
@@ -67,7 +67,7 @@ def _string_leaves(value, depth: int, max_depth: int) -> list[str]:
     return [leaf for child in children for leaf in _string_leaves(child, depth + 1, max_depth)]
 
 
-def json_text(document: Column, max_depth: int = 10) -> Column:
+def json_text(document: Column, max_depth: int | None = None) -> Column:
     """String leaves of a JSON text in document order, one per line; null for malformed JSON.
 
     Spark's variant type sorts object fields, which would lose the order, so

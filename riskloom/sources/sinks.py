@@ -58,8 +58,13 @@ def write_analyses(analyses: DataFrame, path: str) -> None:
 
 
 def with_status(documents: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Documents with the status of their analysis; untouched ones keep theirs."""
-    latest = outcomes.select("document_id", F.col("status").alias("_new"))
+    """Documents with the status of their newest analysis; untouched ones keep theirs.
+
+    Outcomes are told apart by ``created_at`` where they have it; of equal
+    times the status last in alphabetical order counts.
+    """
+    when = F.col("created_at") if "created_at" in outcomes.columns else F.lit(None).cast("timestamp")
+    latest = outcomes.groupBy("document_id").agg(F.max(F.struct(when.alias("at"), "status"))["status"].alias("_new"))
     return documents.join(latest, "document_id", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
 
 

@@ -42,8 +42,9 @@ def test_json_text(spark):
         deep = [deep]
     docs = [json.dumps({"z": "one", "a": ["two", 3, None, {"k": "three"}], "n": True}), json.dumps({"x": deep, "y": "kept"}), "not json", json.dumps("alone")]
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string")
-    got = [r[0] for r in df.orderBy("i").select(files.json_text(F.col("d"))).collect()]
+    got = [r[0] for r in df.orderBy("i").select(files.json_text(F.col("d"), max_depth=10)).collect()]
     assert got == ["one\ntwo\nthree", "kept", None, "alone"]
+    assert df.where("i = 1").select(files.json_text(F.col("d"))).first()[0] == "bottom\nkept"
 
 
 def test_text_file_with_bad_bytes(spark, tmp_path):
