@@ -33,6 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 SPACE = 32
+SLICE_BYTES = 4 << 20  # text encoded at a time
 
 
 @dataclass(frozen=True)
@@ -197,7 +198,7 @@ def sentencepieces(docs: DataFrame, text_col: str = "text", model: str = MODEL)
         v = shared.value
         is_byte = np.zeros(len(v.scores), np.int64)
         is_byte[v.byte_ids] = 1
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(batches, "text", SLICE_BYTES):
             column = batch["text"]
             gone = pc.is_null(column)
             ids, counts, scores = encode_texts(text_array(column), v)
