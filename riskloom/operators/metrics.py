@@ -12,7 +12,7 @@ from riskloom.functions.scores import normalize_level, normalize_score, round_ti
 from riskloom.functions.text import strip
 from riskloom.functions.times import ntz, zone_day
 from riskloom.operators.frames import explode_once, merge_single_rows
-from riskloom.operators.monitor import new_items, owned, since
+from riskloom.operators.monitor import active, new_items, owned, since
 
 DAY = dt.timedelta(hours=24)
 
@@ -157,10 +157,10 @@ def scan_summary(results: DataFrame) -> DataFrame:
 
 
 def poll_results(fetched: DataFrame, stored: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per polled source: rows fetched, rows that were new, and the error if its input was unreadable."""
+    """Per active source: rows fetched, rows that were new, and the error if its input was unreadable."""
     counts = fetched.groupBy("source_id").agg(F.count("*").alias("fetched"))
     fresh = new_items(fetched, stored).groupBy("source_id").agg(F.count("*").alias("new"))
-    joined = sources.select("source_id").join(counts, "source_id", "left").join(fresh, "source_id", "left")
+    joined = active(sources).select("source_id").join(counts, "source_id", "left").join(fresh, "source_id", "left")
     return joined.na.fill(0, ["fetched", "new"]).withColumn("error", F.lit(None).cast("string"))
 
 

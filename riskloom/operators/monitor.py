@@ -32,6 +32,11 @@ def since(df: DataFrame, column: str, as_of: dt.datetime, days: int) -> DataFram
     return df.where(F.col(column) >= ntz(as_of - dt.timedelta(days=clamp(days, 1, 180))))
 
 
+def active(sources: DataFrame) -> DataFrame:
+    """Sources that are polled; one without the flag is."""
+    return sources.where(F.coalesce("is_active", F.lit(True)))
+
+
 def with_text(items: DataFrame) -> DataFrame:
     return items.where(F.length("text") > 0)
 

@@ -133,7 +133,7 @@ def top_keywords(lake: Lake):
 
 @query("scan_results", "A31 R8", q.with_views("items sources", f"""
     SELECT s.source_id, count(i.doc_id) AS fetched, count(*) FILTER (i.collected_at >= {q.AS_OF} - INTERVAL 5 DAY) AS new
-    FROM sources s LEFT JOIN items i USING (source_id) GROUP BY 1"""))
+    FROM sources s LEFT JOIN items i USING (source_id) WHERE s.is_active GROUP BY 1"""))
 def scan_results(lake: Lake):
     items = lake.items()
     stored = items.where(F.col("collected_at") < m.ntz(lake.as_of - dt.timedelta(days=5)))
@@ -141,7 +141,8 @@ def scan_results(lake: Lake):
 
 
 @query("scan_summary", "A31", q.with_views("items sources", f"""
-    SELECT (SELECT count(*) FROM sources) AS sources_polled, count(*) AS fetched, count(*) FILTER (collected_at >= {q.AS_OF} - INTERVAL 5 DAY) AS new, CAST(0 AS BIGINT) AS failed FROM items"""))
+    SELECT (SELECT count(*) FROM sources WHERE is_active) AS sources_polled, count(*) AS fetched, count(*) FILTER (collected_at >= {q.AS_OF} - INTERVAL 5 DAY) AS new, CAST(0 AS BIGINT) AS failed
+    FROM items WHERE source_id IN (SELECT source_id FROM sources WHERE is_active)"""))
 def scan_summary(lake: Lake):
     items = lake.items()
     stored = items.where(F.col("collected_at") < m.ntz(lake.as_of - dt.timedelta(days=5)))

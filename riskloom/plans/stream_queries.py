@@ -13,6 +13,7 @@ from riskloom.session import shared_dir
 from riskloom.streaming import collector as c
 from riskloom.streaming import live
 
+_POLLED = "source_id IN (SELECT source_id FROM sources WHERE is_active)"
 ITEM_COLUMNS = ["source_id", "source_type", "external_id", "title", "text", "threat_score", "collected_at"]
 
 
@@ -43,14 +44,14 @@ def _collect(lake: Lake) -> c.Collector:
     return job
 
 
-@query("collected_items", "R1 R2 R3 S10", q.with_views("items", "SELECT source_id, source_type, external_id, title, threat_score, threat_level FROM items"))
+@query("collected_items", "R1 R2 R3 S10", q.with_views("items sources", f"SELECT source_id, source_type, external_id, title, threat_score, threat_level FROM items WHERE {_POLLED}"))
 def collected_items(lake: Lake):
     job = _collect(lake)
     return lake.spark.read.parquet(job.store("items")).select("source_id", "source_type", "external_id", "title", "threat_score", "threat_level")
 
 
 @query("streamed_alerts", "R3 R4 P11 P12", q.with_views("items sources", """
-    SELECT s.owner_id, i.title, i.threat_score, i.threat_level, s.name AS source_name, i.external_id FROM items i JOIN sources s USING (source_id) WHERE i.threat_score >= 0.6"""))
+    SELECT s.owner_id, i.title, i.threat_score, i.threat_level, s.name AS source_name, i.external_id FROM items i JOIN sources s USING (source_id) WHERE i.threat_score >= 0.6 AND s.is_active"""))
 def streamed_alerts(lake: Lake):
     job = _collect(lake)
     alert = F.from_json("event", "event string, alert struct<title string, threat_score double, threat_level string, details struct<source_name string, external_id string>>")
@@ -58,7 +59,7 @@ def streamed_alerts(lake: Lake):
     return rows.select("owner_id", "e.alert.title", "e.alert.threat_score", "e.alert.threat_level", "e.alert.details.source_name", "e.alert.details.external_id")
 
 
-@query("poll_log", "R8 A31", q.with_views("items", "SELECT source_id, count(*) * 2 AS fetched, count(*) AS new FROM items GROUP BY source_id"))
+@query("poll_log", "R8 A31", q.with_views("items sources", f"SELECT source_id, count(*) * 2 AS fetched, count(*) AS new FROM items WHERE {_POLLED} GROUP BY source_id"))
 def poll_log(lake: Lake):
     job = _collect(lake)
     polls = lake.spark.read.parquet(job.store("polls"))

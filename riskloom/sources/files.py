@@ -13,8 +13,6 @@ from riskloom.fixed_values import FILE_READERS
 from riskloom.functions.text import strip
 from riskloom.operators.ranking import row_index
 
-EXTRA = "_extra"
-
 
 def _with_place(df: DataFrame) -> DataFrame:
     """File, split start and order inside the split of every row."""
@@ -23,17 +21,30 @@ def _with_place(df: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("seq"), "*")
 
 
+def header_widths(spark: SparkSession, path: str) -> DataFrame:
+    """(document_id, width): number of fields in the first filled line of each CSV file."""
+    lines = _with_place(spark.read.text(path)).where((F.col("block") == 0) & (F.length(F.trim("value")) > 0))
+    first = lines.groupBy("document_id").agg(F.min_by("value", "seq").alias("line"))
+    bare = F.regexp_replace("line", '"([^"]|"")*"', "")
+    return first.select("document_id", (F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1).alias("width"))
+
+
 def message_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """(document_id, block, seq, message) from the first column of CSV files with a header.
+    """(document_id, block, seq, message) from the first column of CSV files, each with its own header of one line.
 
-    Rows with more fields than the header are skipped, as are blank messages.
+    Rows with more filled fields than their file's header are skipped, as are
+    blank messages.  The headers take a scan of their own.
     """
+    widths = header_widths(spark, path)
+    most = widths.agg(F.max("width")).first()[0] or 1
+    names = [f"c{i}" for i in range(most + 1)]
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("encoding", "UTF-8")
-    names = reader.csv(path).columns
-    schema = StructType([StructField(n, StringType()) for n in [*names, EXTRA]])
-    rows = _with_place(reader.schema(schema).csv(path)).where(F.col(EXTRA).isNull())
-    message = strip(F.col(f"`{names[0]}`"))
-    return rows.select("document_id", "block", "seq", message.alias("message")).where(F.length("message") > 0)
+    rows = _with_place(reader.schema(StructType([StructField(n, StringType()) for n in names])).csv(path))
+    placed = rows.select(
+        "document_id", "block", "seq", strip(F.col("c0")).alias("message"),
+        F.greatest(F.lit(0), *[F.when(F.col(n).isNotNull(), i + 1) for i, n in enumerate(names)]).alias("filled"))
+    kept = placed.where(F.length("message") > 0).join(widths, "document_id").where("filled <= width")
+    return kept.select("document_id", "block", "seq", "message")
 
 
 def numbered_messages(table: DataFrame, limit: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from riskloom.fixed_values import ALERT_THRESHOLD
-from riskloom.operators.monitor import ITEM_KEY, alert_event, new_items, raise_alerts, with_text
+from riskloom.operators.monitor import ITEM_KEY, active, alert_event, new_items, of_sources, raise_alerts, touch, with_text
 from riskloom.sources.sinks import read_store, write_batch
 
 POLL_INTERVAL = "300 seconds"
@@ -37,8 +37,10 @@ def run_to_end(query: StreamingQuery) -> None:
 class Collector:
     """Stores below one folder: ``items``, ``alerts``, ``polls`` and ``quarantine``, each by batch.
 
-    A batch writes only its own folders and compares itself with earlier
-    batches, so repeating a batch after a failure gives the same stores.
+    Only active sources are polled: what landed for others is left out, except
+    that unreadable rows of any source are set aside.  A batch writes only its
+    own folders and compares itself with earlier batches, so repeating a batch
+    after a failure gives the same stores.
     """
 
     def __init__(self, spark: SparkSession, folder: str, sources: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float = ALERT_THRESHOLD):
@@ -53,10 +55,12 @@ class Collector:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        valid = batch
         if "_corrupt" in batch.columns:
             broken = F.col("_corrupt").isNotNull()
             write_batch(batch.where(broken).select("source_id", "_corrupt"), self.store("quarantine"), batch_id)
+        batch = of_sources(batch, active(self.sources))
+        valid = batch
+        if "_corrupt" in batch.columns:
             valid = batch.where(~broken).drop("_corrupt")
         keys = StructType([f for f in batch.schema.fields if f.name in ITEM_KEY])
         stored = read_store(spark, self.store("items"), keys.add("batch_id", "integer"), before=batch_id)
@@ -67,13 +71,19 @@ class Collector:
         write_batch(self._poll(batch, written), self.store("polls"), batch_id)
 
     def _poll(self, batch: DataFrame, written: DataFrame) -> DataFrame:
-        """Per source: rows fetched, rows stored, and whether some could not be read."""
+        """Per source: rows fetched, rows stored, whether some could not be read, and the time."""
         error = F.lit(None).cast("string")
         if "_corrupt" in batch.columns:
             error = F.when(F.count("_corrupt") > 0, F.concat(F.count("_corrupt").cast("string"), F.lit(" unreadable rows")))
         fetched = batch.groupBy("source_id").agg(F.count("*").alias("fetched"), error.alias("error"))
         fresh = written.groupBy("source_id").agg(F.count("*").alias("new"))
-        return fetched.join(fresh, "source_id", "left").na.fill(0, ["new"])
+        counts = fetched.join(fresh, "source_id", "left").na.fill(0, ["new"])
+        return counts.withColumn("checked_at", F.current_timestamp().cast("timestamp_ntz"))
+
+    def checked_sources(self) -> DataFrame:
+        """All sources, ``last_checked`` set to the newest poll of each."""
+        schema = f"source_id {self.sources.schema['source_id'].dataType.simpleString()}, checked_at timestamp_ntz"
+        return touch(self.sources, read_store(self.spark, self.store("polls"), schema))
 
     def run(self, stream: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
         return start(stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint), once)

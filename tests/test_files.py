@@ -15,6 +15,14 @@ def test_message_table(spark, tmp_path):
     assert [(r["row"], r["message"]) for r in rows] == [(2, "first"), (3, 'a, "quoted" one'), (4, "last")]
 
 
+def test_message_table_over_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("text\none\ntwo,surplus\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text('\nbody,"who, when",n\nthree,x,1\nfour\nfive,x,1,surplus\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_text("", encoding="utf-8")
+    rows = files.message_table(spark, str(tmp_path)).collect()
+    assert sorted(r["message"] for r in rows) == ["four", "one", "three"]
+
+
 def test_message_table_over_many_splits(spark, tmp_path):
     lines = [f"message {i}" for i in range(3000)]
     (tmp_path / "m.csv").write_text("text\n" + "\n".join(lines), encoding="utf-8")

@@ -63,6 +63,19 @@ def test_a_repeated_batch_replaces_its_output(spark, sources, tmp_path):
     assert sorted(r["external_id"] for r in stored.collect()) == sorted(f"e{i}" for i in range(12))
 
 
+def test_only_active_sources_are_polled(spark, sources, tmp_path):
+    some = sources.withColumn("is_active", F.when(F.col("source_id") == "s1", False).when(F.col("source_id") == "s0", True))
+    job = c.Collector(spark, str(tmp_path / "stores"), some, rescored)
+    assert job.checked_sources().where("last_checked IS NOT NULL").count() == 0
+    job.process(items(spark, range(12)), 0)
+    assert {r["source_id"] for r in spark.read.parquet(job.store("items")).collect()} == {"s0", "s2"}
+    assert {r["owner_id"] for r in spark.read.parquet(job.store("alerts")).collect()} == {0, 2}
+    checked = {r["source_id"]: r["last_checked"] is not None for r in job.checked_sources().collect()}
+    assert checked == {"s0": True, "s1": False, "s2": True}
+    polled = metrics.poll_results(items(spark, range(12)), items(spark, []), some)
+    assert metrics.scan_summary(polled).first()["sources_polled"] == 2
+
+
 def test_unreadable_rows_are_set_aside(spark, sources, tmp_path):
     landing = tmp_path / "landing"
     for name, lines in {"s0": ['{"source_type":"rss","external_id":"a","title":"t","text":"x","threat_score":0.9,"collected_at":"2024-03-10T01:00:00"}', "{broken"],
