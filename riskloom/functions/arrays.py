@@ -33,6 +33,11 @@ def term_counts(terms: Column) -> Column:
         lambda s: _runs(s, lambda e: e, lambda e, n: F.struct(e.alias("term"), n.alias("n"))))
 
 
+def first_of_runs(entries: Column, field: str) -> Column:
+    """The smallest entry of each value of ``field``, which must be the first field of the structs."""
+    return let(F.sort_array(entries), lambda s: _runs(s, lambda e: e[field], lambda e, n: e))
+
+
 def ranked_terms(terms: Column, k: int) -> Column:
     """The ``k`` most frequent terms, ties by first position."""
     placed = F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.fixed_values import ARTICLES_PER_PAGE, NON_ARTICLE_PREFIXES
+from riskloom.functions.arrays import first_of_runs, let
 from riskloom.functions.text import strip
 from riskloom.functions.urls import article_id, canonical_url, page_id, path_segments, resolve_link, url_parts
 from riskloom.operators.monitor import contained_keywords
-from riskloom.operators.ranking import first_by, top_k
 from riskloom.operators.scoring import classify
 
 PAGE_NOISE = ("script", "style", "nav", "footer", "header")
@@ -29,7 +29,7 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 
 def noise_pattern(names: tuple[str, ...]) -> str:
     """Comments and whole elements, matched left to right in one pass."""
-    return "(?is)<!--.*?-->|" + "|".join(rf"<{n}\b.*?</{n}\s*>" for n in names)
+    return "(?is)<!--.*?-->|" + "|".join(rf"<{n}(?:[\s/][^>]*)?>.*?</{n}\s*>" for n in names)
 
 
 def unescape(text: Column) -> Column:
@@ -125,60 +125,76 @@ class _LinkParser(HTMLParser):
                     text.append(piece)
 
 
+def _page_links(html: str | None) -> list[dict]:
+    """Links inside article containers (all links where a page has none), with nesting-aware texts."""
+    parser = _LinkParser()
+    parser.feed(html or "")
+    parser.close()
+    only_inside = any(link["inside"] for link in parser.links)
+    rows = []
+    for pos, link in enumerate(parser.links):
+        if link["href"] and (link["inside"] or not only_inside):
+            texts = ["".join(n["text"]) if n else "" for n in (link, link["heading"], link["paragraph"])]
+            rows.append(dict(zip(("pos", "href", "link_text", "heading", "paragraph"), (pos, link["href"], *texts))))
+    return rows
+
+
 def _link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for page, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
-            parser = _LinkParser()
-            parser.feed(html or "")
-            parser.close()
-            only_inside = any(link["inside"] for link in parser.links)
-            for pos, link in enumerate(parser.links):
-                if link["href"] and (link["inside"] or not only_inside):
-                    texts = ["".join(n["text"]) if n else "" for n in (link, link["heading"], link["paragraph"])]
-                    rows.append((page, url, pos, link["href"], *texts))
-        yield pd.DataFrame(rows, columns=["page_id", "url", "pos", "href", "link_text", "heading", "paragraph"])
-
-
-def link_candidates(pages: DataFrame) -> DataFrame:
-    """Links inside article containers (all links where a page has none), with nesting-aware texts."""
-    schema = "page_id long, url string, pos long, href string, link_text string, heading string, paragraph string"
+        yield batch.assign(links=[_page_links(html) for html in batch["html"]])
+
+
+def with_links(pages: DataFrame) -> DataFrame:
+    """Pages with the array of their candidate links in document order."""
+    links = "array<struct<pos: long, href: string, link_text: string, heading: string, paragraph: string>>"
+    types = {f.name: f.dataType.simpleString() for f in pages.select("page_id", "url", "html").schema}
+    schema = ", ".join(f"{name} {kind}" for name, kind in types.items()) + f", links {links}"
     return pages.select("page_id", "url", "html").mapInPandas(_link_batches, schema)
 
 
-def article_links(candidates: DataFrame, limit: int = ARTICLES_PER_PAGE) -> DataFrame:
-    """Candidates that lead to articles of the same host, first sighting per canonical address, at most ``limit`` per page."""
-    full = candidates.withColumn("full", resolve_link(F.col("url"), F.col("href")))
-    scheme, host, path = url_parts(F.col("full"))
-    _, home, _ = url_parts(F.col("url"))
-    skipped = F.lit(False)
-    for prefix in NON_ARTICLE_PREFIXES:
-        skipped = skipped | F.lower(path).startswith(prefix)
-    kept = full.withColumn("canonical", canonical_url(F.col("full"))).where(
-        scheme.isin("http", "https") & (host == home) & (F.col("canonical") != F.regexp_replace("url", "/+$", ""))
-        & (F.size(path_segments(path)) >= 2) & ~skipped)
-    first = first_by(kept.select("page_id", "canonical", "pos", "url", "link_text", "heading", "paragraph"), ["page_id", "canonical"], ["pos"])
-    title = F.when(F.length("link_text") >= 8, F.col("link_text")).when(F.length("heading") >= 8, F.col("heading"))
-    titled = first.withColumn("full_title", title).where(F.col("full_title").isNotNull())
-    return top_k(titled, ["page_id"], [F.col("pos")], limit)
+def article_links(links: Column, url: Column, limit: int = ARTICLES_PER_PAGE) -> Column:
+    """Links that lead to articles of the same host, first sighting per canonical address, at most ``limit``."""
+    _, home, _ = url_parts(url)
+
+    def shape(link: Column) -> Column:
+        return let(resolve_link(url, link["href"]), lambda full: F.struct(
+            canonical_url(full).alias("canonical"), link["pos"].alias("pos"), full.alias("full"), link["link_text"].alias("link_text"),
+            link["heading"].alias("heading"), link["paragraph"].alias("paragraph")))
+
+    def leads(link: Column) -> Column:
+        scheme, host, path = url_parts(link["full"])
+        skipped = F.lit(False)
+        for prefix in NON_ARTICLE_PREFIXES:
+            skipped = skipped | F.lower(path).startswith(prefix)
+        return (scheme.isin("http", "https") & (host == home) & (link["canonical"] != F.regexp_replace(url, "/+$", ""))
+                & (F.size(path_segments(path)) >= 2) & ~skipped)
+
+    def titled(link: Column) -> Column:
+        title = F.when(F.length(link["link_text"]) >= 8, link["link_text"]).when(F.length(link["heading"]) >= 8, link["heading"])
+        return F.struct(link["pos"].alias("pos"), link["canonical"].alias("canonical"), title.alias("full_title"), link["paragraph"].alias("paragraph"))
+
+    kept = F.filter(F.transform(links, shape), leads)
+    first = F.transform(first_of_runs(kept, "canonical"), titled)
+    return F.slice(F.sort_array(F.filter(first, lambda x: x["full_title"].isNotNull())), 1, limit)
 
 
 def articles(pages: DataFrame, limit: int = ARTICLES_PER_PAGE) -> DataFrame:
     """Article items of each page; a page without any yields itself as one item.
 
-    Links are parsed once: pages meet their articles in a left join, and only
-    unmatched pages have their whole text extracted.
+    A page is one row: its links are parsed, chosen and cut inside the row, and
+    nothing is shuffled.
     """
-    snippet = F.substring("paragraph", 1, 400)
-    body = F.when(F.length(snippet) > 0, F.concat("full_title", F.lit("\n\n"), snippet)).otherwise(F.col("full_title"))
-    found = article_links(link_candidates(pages), limit).select(
-        "page_id", "canonical", F.substring("full_title", 1, 300).alias("full_title"), strip(body).alias("body"))
-    joined = pages.select("page_id", F.col("url").alias("source"), "html").join(found, "page_id", "left")
-    lone = F.col("canonical").isNull()
+    found = article_links(F.col("links"), F.col("url"), limit)
+    joined = with_links(pages).select("page_id", F.col("url").alias("source"), "html", F.explode_outer(found).alias("found"))
+    snippet = F.substring("found.paragraph", 1, 400)
+    full_title, canonical = F.col("found.full_title"), F.col("found.canonical")
+    body = F.when(F.length(snippet) > 0, F.concat(full_title, F.lit("\n\n"), snippet)).otherwise(full_title)
+    lone = canonical.isNull()
     shaped = joined.select(
-        "page_id", "source", "canonical",
-        F.when(lone, F.coalesce(page_title(F.col("html")), F.col("source"))).otherwise(F.col("full_title")).alias("title"),
-        F.when(lone, visible_text(F.col("html"), LINK_NOISE)).otherwise(F.col("body")).alias("text"))
+        "page_id", "source", canonical.alias("canonical"),
+        F.when(lone, F.coalesce(page_title(F.col("html")), F.col("source"))).otherwise(F.substring(full_title, 1, 300)).alias("title"),
+        F.when(lone, visible_text(F.col("html"), LINK_NOISE)).otherwise(strip(body)).alias("text"))
+    lone = F.col("canonical").isNull()
     identity = F.when(lone, page_id(F.col("source"), F.col("title"), F.col("text"))).otherwise(article_id(F.col("canonical")))
     return shaped.select("page_id", identity.alias("external_id"), "source", "title", "text", F.coalesce("canonical", "source").alias("url"))
 

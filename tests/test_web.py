@@ -64,3 +64,13 @@ def test_page_checks(pages):
     assert rows[1]["status"] == "checked" and rows[1]["keyword_matches"] == ["LEAD"] and rows[1]["threat_level"] == "high"
     assert rows[3]["status"] == "empty" and rows[3]["threat_score"] is None
     assert rows[4]["status"] == "error" and rows[4]["keyword_matches"] is None
+
+
+def test_element_names_are_matched_whole(spark):
+    html = "<body><nav-item>keep</nav-item><p>ok</p><nav class='x'>n</nav><p>z</p><nav>m</nav></body>"
+    row = web.page_texts(spark.createDataFrame([(1, "https://h.example/", html)], "page_id long, url string, html string")).first()
+    assert row["text"].split("\n") == ["keep", "ok", "z"]
+
+
+def test_articles_need_no_shuffle(pages):
+    assert "Exchange" not in web.articles(pages)._jdf.queryExecution().executedPlan().toString().replace("InMemoryTableScan", "")
