@@ -69,8 +69,11 @@ def _fingerprints(hashes: np.ndarray, made: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every text as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, digest: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every text as a signed 64-bit number; if asked for, with Spark's digest of the text."""
+    text = F.col(text_col).cast("string")
+    taken = [F.col(id_col).alias("doc_id"), *([F.xxhash64(text).alias("digest")] if digest else [])]
+    names = ["doc_id", *(["digest"] if digest else [])]
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -78,10 +81,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 fp = _fingerprints(*_shingle_digests(text_array(part["text"]), shingle, seed))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*[part[n] for n in names], pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {id_type}, fp long")
+    return docs.select(*taken, text.alias("text")).mapInArrow(run, f"doc_id {id_type}, {'digest long, ' if digest else ''}fp long")
 
 
 def _segment(fp: Column, at: int, width: int) -> Column:
@@ -123,12 +125,15 @@ def linked_fingerprints(prints: DataFrame, distance: int = DISTANCE) -> DataFram
     return grouped.join(second, grouped["grp"] == second["node"], "left").select("fp", F.coalesce("root", "grp").alias("root"))
 
 
+def _prints(docs: DataFrame, id_col: str, text_col: str, digest: bool = False) -> DataFrame:
+    path = shared_dir(docs.sparkSession, "fingerprints")
+    fingerprints(docs, id_col, text_col, digest=digest).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id, n) per row: the smallest doc_id reachable over links, and the rows with this doc_id and fingerprint."""
-    spark = docs.sparkSession
-    path = shared_dir(spark, "fingerprints")
-    fingerprints(docs, id_col, text_col).write.parquet(path)
-    prints = spark.read.parquet(path)
+    """(doc_id, fp, component_id) per row: the component is the smallest doc_id reachable over links."""
+    prints = _prints(docs, id_col, text_col)
     per_fp = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = linked_fingerprints(per_fp.select("fp"))
     mapped = per_fp.join(roots, "fp")
@@ -137,16 +142,27 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def smallest_rows(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` per root of ``groups`` (doc_id, digest, root): that with the smallest id, null last, then the smallest digest.
+
+    Rows equal in id and text are interchangeable: one stays.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("digest"))
+    stay = groups.groupBy("root").agg(F.min(rank).alias("stay")).select("stay.doc_id", F.col("stay.digest").alias("stay_digest"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"))
+    kept = rows.join(stay, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("stay_digest")), "left_semi")
+    one = kept.groupBy("row_id", "digest").agg(F.first("row").alias("row"))
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group: the one with the smallest id, once.
 
-    Rows that share the smallest id of a group are told apart by the digest of
-    their text and, if that is equal too, are interchangeable: one stays.
-    Groups whose ids are all null keep one row.
+    Groups that share an id, or have null ids only, stay apart: each keeps one
+    row.  Rows of a group that share its smallest id are told apart by the
+    digest of their text.
     """
-    groups = simhash_components(docs, id_col, text_col).select("doc_id", "component_id").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = groups.distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(F.col(text_col)).alias("digest"))
-    kept = rows.join(stay, F.col("row_id").eqNullSafe(F.col("doc_id")), "left_semi")
-    one = kept.groupBy("row_id").agg(F.min_by("row", "digest").alias("row"))
-    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    prints = _prints(docs, id_col, text_col, digest=True)
+    per_fp = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("digest"))).alias("low"))
+    mapped = per_fp.join(linked_fingerprints(per_fp.select("fp")), "fp")
+    return smallest_rows(docs, mapped.select("low.doc_id", "low.digest", "root"), id_col, text_col)

@@ -128,6 +128,15 @@ def test_simhash(request, table):
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, grouped(pairs(df))))
 
 
+def test_groups_that_share_an_id_each_keep_a_row(spark):
+    a, b, c, d = (" ".join(f"{x}{n}" for n in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (5, c), (5, d), (3, c + " "), (5, d), (None, d)]
+    for text in (a, b, c, d):
+        assert all(text == other or bin(fingerprint(text) ^ fingerprint(other)).count("1") > 4 for other in (a, b, c, d))
+    got = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("None", a), ("None", b), ("3", c + " "), ("5", d)])
+
+
 def test_links_by_one_bit_in_a_segment(spark):
     near = [0, 0b1111, 1 << 22 | 1 << 43 | 1, (1 << 63) - 1, (1 << 63) - 2, 0xF0F0F0F0F0F, 0xF0F0F0F0F0F ^ (1 << 3 | 1 << 30 | 1 << 50 | 1 << 60)]
     got = {r["fp"]: r["root"] for r in simhash.linked_fingerprints(spark.createDataFrame([(x,) for x in near], "fp long")).collect()}
