@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskloom.llm import (
-    attention_model, decontaminate, language_id, line_dedup, lm_scoring, pii, quality, queries, sentencepieces, simhash, suffix_dedup, token_counts)
+    attention_model, decontaminate, language_id, line_dedup, lm_scoring, near_copies, pii, quality, queries, sentencepieces, simhash, suffix_dedup, token_counts)
 from riskloom.llm.components import components
 from riskloom.llm.words import split_words, string_buffers
 from tests.conftest import SMALL
@@ -137,6 +138,34 @@ def test_groups_that_share_an_id_each_keep_a_row(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("None", a), ("None", b), ("3", c + " "), ("5", d)])
 
 
+def test_near_copies_against_all_pairs(spark):
+    """Copies with words replaced, in groups of different closeness: kept ids by exact similarity of all pairs."""
+    rng, rows = random.Random(7), []
+    for n in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(100, 400))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(rng.randrange(3)):
+            copy = list(words)
+            for _ in range(max(1, round(len(words) * rng.choice((0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.05))))):
+                copy[rng.randrange(len(words))] = f"x{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = []
+    for _, text in rows:
+        w = text.split()
+        sets.append({" ".join(w[i:i + 5]) for i in range(len(w) - 4)})
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    far = [p for p in links if bin(fingerprint(rows[p[0]][1]) ^ fingerprint(rows[p[1]][1])).count("1") > 4]
+    root = list(range(len(rows)))
+    for a, b in links:
+        if root[a] == root[b]:
+            continue
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    assert len(far) > len(links) / 4
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
+
+
 def test_links_by_one_bit_in_a_segment(spark):
     near = [0, 0b1111, 1 << 22 | 1 << 43 | 1, (1 << 63) - 1, (1 << 63) - 2, 0xF0F0F0F0F0F, 0xF0F0F0F0F0F ^ (1 << 3 | 1 << 30 | 1 << 50 | 1 << 60)]
     got = {r["fp"]: r["root"] for r in simhash.linked_fingerprints(spark.createDataFrame([(x,) for x in near], "fp long")).collect()}
