@@ -1,7 +1,13 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
-The pieces and their log scores come from a public model file.  No piece holds
-a space after another character, so the best segmentation of a text is that of
+The pieces come from a public model file, which is a BPE model: its scores are
+merge ranks and no log probabilities.  Log probabilities are estimated here
+from all texts: the distinct chunks of the corpus are counted, and EM rounds
+over this table sum the expected uses of each piece over all segmentations
+(forward-backward), starting from the pieces' counts as substrings times their
+lengths.  Counts are smoothed, so every piece keeps a finite score.
+
+No piece holds a space after another character, so the best segmentation of a text is that of
 its chunks (spaces and the characters up to the next space); each distinct
 chunk of a batch is segmented once, all of them in lock step.  Characters
 without a piece become byte pieces.  Decoding maps pieces to bytes, whitespace
@@ -9,7 +15,7 @@ markers to spaces, and drops the marker put before the text; it gives every
 text back exactly, also one that holds the marker character itself, which is
 written in byte pieces.
 
-Of equal scores the segmentation whose last piece starts first wins.
+A character without a piece scores less than every piece.  Of equal scores the segmentation whose last piece starts first wins.
 
 Defined results: a null text has null ids and decodes to null; an empty text
 has no pieces; texts of any length are encoded whole; repeated rows agree;
@@ -18,7 +24,7 @@ other columns pass unchanged, unless the result has a column of that name.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +34,16 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.double_array import DoubleArray, double_array, trie
 from riskloom.llm.words import pieces_of, ragged, string_buffers, text_array
+from riskloom.session import shared_dir
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 SPACE = 32
 SLICE_BYTES = 4 << 20  # text encoded at a time
+ROUNDS = 4  # of EM after the first counts
+SMOOTHING = 0.1  # added to the count of each piece
+DIGITS = 6  # of log scores, so that the order of summing does not show
 
 
 @dataclass(frozen=True)
@@ -42,7 +52,7 @@ class Pieces:
 
     trie: DoubleArray
     ids: np.ndarray  # id of each trie key
-    scores: np.ndarray  # log score by id
+    scores: np.ndarray  # score by id: ranks as loaded from a BPE file, log probabilities once estimated
     unknown: float  # score of a character without a piece
     byte_ids: np.ndarray  # id of each byte value
     raw: np.ndarray  # bytes of all pieces, end to end
@@ -82,6 +92,29 @@ def _char_bytes(lead: np.ndarray) -> np.ndarray:
     return 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
 
 
+def _walk(node: np.ndarray, at: np.ndarray, left: np.ndarray, room: np.ndarray, v: Pieces):
+    """(rows of node, bytes, piece) of all pieces that start at these positions; piece is -2 for a character without one."""
+    width = np.minimum(_char_bytes(room[at]), left)
+    lone = np.ones(len(node), bool)  # no piece is exactly this character
+    alive, state, depth = np.arange(len(node)), np.zeros(len(node), np.int64), 0
+    while len(alive):
+        state, ok = v.trie.step(state, room[at[alive] + depth])
+        depth += 1
+        alive, state = alive[ok], state[ok]
+        key = v.trie.key[state]
+        hit = key >= 0
+        who = alive[hit]
+        lone[who[width[who] == depth]] = False
+        if len(who):
+            yield who, depth, v.ids[key[hit]]
+        more = left[alive] > depth
+        alive, state = alive[more], state[more]
+    for w in (1, 2, 3, 4):
+        who = np.flatnonzero(lone & (width == w))
+        if len(who):
+            yield who, w, np.full(len(who), -2, np.int32)
+
+
 def segment(raw: np.ndarray, offsets: np.ndarray, v: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of the best pieces of each chunk, end to end; their number and total score per chunk.
 
@@ -98,29 +131,15 @@ def segment(raw: np.ndarray, offsets: np.ndarray, v: Pieces) -> tuple[np.ndarray
     best[first] = 0.0
     back = np.zeros(len(best), np.int64)
     taken = np.full(len(best), -1, np.int32)
+    scores = np.append(v.scores, [v.unknown, 0.0])  # -2 is a character without a piece
     active = len(size)
     for s in range(int(size[0]) if len(size) else 0):
         while active and size[active - 1] <= s:
             active -= 1
         reached = np.flatnonzero(best[first[:active] + s] > -np.inf)
         node, at, left = first[reached] + s, begin[reached] + s, size[reached] - s
-        width = np.minimum(_char_bytes(room[at]), left)
-        lone = np.ones(len(node), bool)  # no piece is exactly this character
-        alive, state, depth = np.arange(len(node)), np.zeros(len(node), np.int64), 0
-        while len(alive):
-            state, ok = v.trie.step(state, room[at[alive] + depth])
-            depth += 1
-            alive, state = alive[ok], state[ok]
-            key = v.trie.key[state]
-            hit = key >= 0
-            who, piece = alive[hit], v.ids[key[hit]]
-            lone[who[width[who] == depth]] = False
-            _offer(best, back, taken, node[who], depth, best[node[who]] + v.scores[piece], piece)
-            more = left[alive] > depth
-            alive, state = alive[more], state[more]
-        for w in (1, 2, 3, 4):
-            who = np.flatnonzero(lone & (width == w))
-            _offer(best, back, taken, node[who], w, best[node[who]] + v.unknown, np.full(len(who), -2, np.int32))
+        for who, depth, piece in _walk(node, at, left, room, v):
+            _offer(best, back, taken, node[who], depth, best[node[who]] + scores[piece], piece)
     token = np.full(len(best), -1, np.int32)
     cursor = first + size
     score = best[cursor].copy()
@@ -150,6 +169,128 @@ def _offer(best, back, taken, node, width, score, piece) -> None:
     best[to], back[to], taken[to] = score[better], node[better], piece[better]
 
 
+def _chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The chunks of non-empty texts end to end, where each starts, and where each text starts."""
+    marked = pc.binary_join_element_wise(" ", texts, "")
+    raw, offsets = string_buffers(marked)
+    cut = (raw == SPACE) & (np.append(0, raw[:-1]) != SPACE)
+    cut[offsets[:-1]] = True
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts, len(raw)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]), starts, offsets
+
+
+def chunk_counts(texts: DataFrame) -> DataFrame:
+    """(chunk, n) of a table (text): each distinct chunk of all texts, and how often it occurs."""
+
+    def run(batches):
+        for batch in pieces_of(batches, "text", SLICE_BYTES):
+            column = text_array(batch["text"])
+            filled = column.filter(pc.greater(pc.binary_length(column), 0))
+            if len(filled):
+                found = _chunks(filled)[0].value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["chunk", "n"])
+
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = texts.mapInArrow(run, "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n")).repartition(parts, "chunk")
+    path = shared_dir(spark, "chunks")
+    counts.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def substring_counts(raw: np.ndarray, offsets: np.ndarray, n: np.ndarray, v: Pieces) -> np.ndarray:
+    """How often each piece occurs in the chunks, times its bytes, by id."""
+    out = np.zeros(len(v.scores))
+    room = np.append(raw, np.zeros(1, np.uint8))
+    size = np.diff(offsets)
+    begin = np.repeat(offsets[1:], size)
+    times, every = np.repeat(n, size), np.arange(len(raw))
+    for who, depth, piece in _walk(every, every, begin - every, room, v):
+        known = piece >= 0
+        np.add.at(out, piece[known], depth * times[who[known]].astype(float))
+    return out
+
+
+def expected_counts(raw: np.ndarray, offsets: np.ndarray, n: np.ndarray, v: Pieces) -> np.ndarray:
+    """Expected uses of each piece, by id, over all segmentations of the chunks, each of which occurs n times.
+
+    The sums to a chunk's end are made from its last byte back; the sums from
+    its start, and with them the uses, from its first byte on.
+    """
+    lengths = np.diff(offsets)
+    order = np.argsort(-lengths, kind="stable")
+    begin, size, times = offsets[:-1][order], lengths[order], n[order].astype(float)
+    room = np.append(raw, np.zeros(1, np.uint8))
+    first = np.cumsum(size + 1) - (size + 1)
+    scores = np.append(v.scores, [v.unknown, 0.0])  # -2 is a character without a piece
+    until = np.full(int((size + 1).sum()), -np.inf)
+    until[first + size] = 0.0
+    since = np.full(len(until), -np.inf)
+    since[first] = 0.0
+    out = np.zeros(len(scores))
+    steps = int(size[0]) if len(size) else 0
+    for s in range(steps - 1, -1, -1):
+        active = int(np.searchsorted(-size, -s, "left"))
+        node, at, left = first[:active] + s, begin[:active] + s, size[:active] - s
+        start = (room[at] & 0xC0) != 0x80
+        node, at, left = node[start], at[start], left[start]
+        for who, depth, piece in _walk(node, at, left, room, v):
+            until[node[who]] = np.logaddexp(until[node[who]], scores[piece] + until[node[who] + depth])
+    for s in range(steps):
+        active = int(np.searchsorted(-size, -s, "left"))
+        owner = np.flatnonzero(since[first[:active] + s] > -np.inf)
+        node, at, left = first[owner] + s, begin[owner] + s, size[owner] - s
+        for who, depth, piece in _walk(node, at, left, room, v):
+            path = since[node[who]] + scores[piece]
+            to = node[who] + depth
+            since[to] = np.logaddexp(since[to], path)
+            np.add.at(out, piece, np.exp(path + until[to] - until[first[owner[who]]]) * times[owner[who]])
+    return out[:-2]
+
+
+def with_counts(v: Pieces, counts: np.ndarray) -> Pieces:
+    """The vocabulary scored by smoothed log shares of the counts."""
+    own = counts[v.ids] + SMOOTHING
+    logs = np.round(np.log(own / own.sum()), DIGITS)
+    unknown = float(logs.min()) - UNKNOWN_PENALTY
+    scores = np.full(len(v.scores), unknown)
+    scores[v.ids] = logs
+    return replace(v, scores=scores, unknown=unknown)
+
+
+def _summed(chunks: DataFrame, shared, counts, v: Pieces) -> np.ndarray:
+    """The counts of all slices of the chunk table, added up by id; one row per piece comes to the driver."""
+    spark = chunks.sparkSession
+    sent = spark.sparkContext.broadcast((v.scores, v.unknown))
+
+    def run(batches):
+        scores, unknown = sent.value
+        pieces = replace(shared.value, scores=scores, unknown=unknown)
+        total = np.zeros(len(scores))
+        for batch in pieces_of(batches, "chunk", SLICE_BYTES // 2):
+            total += counts(*string_buffers(batch["chunk"].cast(pa.binary())), batch["n"].to_numpy(), pieces)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "uses"])
+
+    out = np.zeros(len(v.scores))
+    for r in chunks.mapInArrow(run, "id int, uses double").groupBy("id").agg(F.sum("uses").alias("uses")).collect():
+        out[r["id"]] = r["uses"]
+    sent.destroy()
+    return out
+
+
+def estimated(docs: DataFrame, v: Pieces, text_col: str = "text", rounds: int = ROUNDS) -> Pieces:
+    """The vocabulary with log probabilities of its pieces in all texts."""
+    chunks = chunk_counts(docs.select(F.col(text_col).cast("string").alias("text")))
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+    v = with_counts(v, _summed(chunks, shared, substring_counts, v))
+    for _ in range(rounds):
+        v = with_counts(v, _summed(chunks, shared, expected_counts, v))
+    shared.destroy()
+    return v
+
+
 def encode_texts(texts: pa.Array, v: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts end to end; number of pieces and log score of each text."""
     counts = np.zeros(len(texts), np.int64)
@@ -157,13 +298,8 @@ def encode_texts(texts: pa.Array, v: Pieces) -> tuple[np.ndarray, np.ndarray, np
     filled = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     if not len(filled):
         return np.zeros(0, np.int32), counts, scores
-    marked = pc.binary_join_element_wise(" ", texts.take(pa.array(filled)), "")
-    raw, offsets = string_buffers(marked)
-    cut = (raw == SPACE) & (np.append(0, raw[:-1]) != SPACE)
-    cut[offsets[:-1]] = True
-    starts = np.flatnonzero(cut)
-    ends = np.append(starts, len(raw)).astype(np.int32)
-    chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+    chunks, starts, offsets = _chunks(texts.take(pa.array(filled)))
+    chunks = chunks.dictionary_encode()
     code = chunks.indices.to_numpy(zero_copy_only=False)
     flat, size, score = segment(*string_buffers(chunks.dictionary), v)
     first = np.cumsum(size) - size
@@ -189,9 +325,9 @@ RESULT = "ids array<int>, n_pieces long, n_byte_pieces long, log_score double, d
 
 
 def sentencepieces(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """The given columns and ids, n_pieces, n_byte_pieces, log_score and the decoded text."""
+    """The given columns and ids, n_pieces, n_byte_pieces, log_score and the decoded text, by the pieces' probabilities in these texts."""
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load_pieces(model))
+    shared = spark.sparkContext.broadcast(estimated(docs, load_pieces(model), text_col))
     added = [part.split()[0] for part in RESULT.split(", ")]
 
     def run(batches):

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -230,6 +231,42 @@ def test_viterbi():
         assert sentencepieces.encode_texts(pa.array([text]), v)[0].tolist() == want
 
 
+def test_expected_piece_counts():
+    """Forward-backward against the list of all segmentations."""
+    v = sentencepieces.load_pieces()
+    ids = {bytes(v.raw[v.offsets[i]:v.offsets[i + 1]]): int(i) for i in v.ids}
+    chunks = pa.array([b" the", b" government", "  x龘é".encode()], pa.binary())
+    n = np.array([3, 1, 2])
+    v = sentencepieces.with_counts(v, sentencepieces.substring_counts(*string_buffers(chunks), n, v))
+
+    def ways(text):
+        if not text:
+            return [[]]
+        pieces = [(ids.get(text[:e].encode()), e) for e in range(1, len(text) + 1)]
+        return [[p, *rest] for p, e in [(p, e) for p, e in pieces if p is not None or (e == 1 and pieces[0][0] is None)] for rest in ways(text[e:])]
+
+    want = Counter()
+    for chunk, times in zip(chunks.to_pylist(), n):
+        found = ways(chunk.decode())
+        weights = [math.exp(sum(v.unknown if p is None else v.scores[p] for p in way)) for way in found]
+        for way, weight in zip(found, weights):
+            for p in way:
+                want[p] += times * weight / sum(weights)
+    got = sentencepieces.expected_counts(*string_buffers(chunks), n, v)
+    del want[None]
+    assert {int(i): got[i] for i in np.flatnonzero(got)} == pytest.approx(dict(want), abs=1e-9)
+
+
+def test_frequent_words_are_pieces(spark):
+    """Scores are log probabilities of the texts' pieces: words that are pieces of the file come out whole, not as pairs of low rank."""
+    words = "the government understanding information possible question children".split()
+    rows = [(n, " ".join(words[n % 7:] + words[:n % 7])) for n in range(40)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r["n_pieces"] == len(words) and -100 < r["log_score"] < 0 for r in sentencepieces.sentencepieces(texts).collect())
+    v = sentencepieces.estimated(texts, sentencepieces.load_pieces())
+    assert math.isclose(np.exp(v.scores[v.ids]).sum(), 1, abs_tol=1e-4)
+
+
 def test_token_counts(odd, docs):
     initial, inside = map(set, token_counts.word_pieces())
 
