@@ -108,6 +108,7 @@ def build_manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "la
     carry = carry or {}
     rows = docs.select(
         F.col(group_col).alias("grp"), F.col(id_col).alias("id"), row_digest(*[F.col(c) for c in fields]).alias("leaf"), *[c.alias(n) for n, c in carry.items()])
+    rows = stored(rows, "merkle-rows")  # dealing by ranges reads its rows twice: the digests, not the texts
     leaves = stored(ranked(rows, ["id", "leaf"]), "merkle-leaves")
     low, subroots = _grow(leaves.select("grp", "width", "rank", F.col("leaf").alias("node")))
     tops = ranked(subroots.select(F.lit(0).alias("grp"), F.col("grp").alias("group"), "node"), ["group"])
@@ -142,7 +143,7 @@ def proofs(manifest: Manifest, requests: DataFrame | None = None) -> DataFrame:
     depth = requests.agg(F.max(F.length("path"))).first()[0] or 0
     start = requests.sparkSession.range(1 if manifest.root else 0).select(
         F.lit("").alias("at"), F.lit(manifest.root).cast("string").alias("node"), F.array().cast(NO_SEGMENTS).alias("segments"))
-    reached = [start]
+    reached = [stored(start, "merkle-start")]  # a table, so that the optimizer does not turn the join with one known key into a product
     for length in range(1, depth):
         wanted = requests.where(F.length("path") > length).select(F.substring("path", 1, length).alias("down")).distinct()
         below = _step(reached[-1], wanted, "down", manifest.records)
