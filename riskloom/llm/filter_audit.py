@@ -15,7 +15,7 @@
 Defined results: a null text counts as empty; a null group and the empty group
 are one part; parts of documents only, so an empty table gives no rows; a null
 id is not smaller than another and none is smaller than it, so its text is no
-copy; rows with the smallest id of a text are all first; a document is good
+copy, and it has no labels; rows with the smallest id of a text are all first; a document is good
 (toxic) if any of its label rows says so; each row counts, repeated rows too.
 """
 
