@@ -167,27 +167,35 @@ _GRAMS = f"""
 
 @query("tfidf_vocabulary", "T1", f"WITH {_GRAMS} SELECT term, df, {q.rnd('idf', 8)} AS idf FROM vocab")
 def tfidf_vocabulary(lake: Lake):
-    docs = lake.spread().select("doc_id", "text")
-    vocab = tfidf.vocabulary(tfidf.doc_terms(docs, "doc_id"), docs.count())
-    return vocab.select("term", "df", round_tie_up(F.col("idf"), 8).alias("idf"))
+    counts = tfidf.counted(lake.spread(), keep=[])
+    return tfidf.vocabulary(counts, counts.count()).select("term", "df", round_tie_up(F.col("idf"), 8).alias("idf"))
 
 
 @query("tfidf_weights", "T1", f"WITH {_GRAMS} SELECT doc_id, term, {q.rnd('weight', 6)} AS weight FROM weighted")
 def tfidf_weights(lake: Lake):
-    docs = lake.spread().select("doc_id", "text")
-    return tfidf.tfidf(docs, "doc_id").withColumn("weight", round_tie_up(F.col("weight"), 6))
+    return tfidf.tfidf(lake.spread(), "doc_id").withColumn("weight", round_tie_up(F.col("weight"), 6))
+
+
+def _attributed(lake: Lake):
+    """Contributions of a linear model whose coefficients follow from the terms."""
+    counts = tfidf.counted(lake.spread(), keep=["doc_id"])
+    model = tfidf.TfidfModel.fit_counted(counts)
+    return model.contributions(counts, [(len(t) - 6) / 10.0 for t in model.terms])
+
+
+_FIXED_MODEL = "c AS (SELECT doc_id, term, weight * ((length(term) - 6) / 10.0::DOUBLE) AS contribution FROM weighted)"
 
 
 @query("attribution_margins", "T14", f"""
-    WITH {_GRAMS}, c AS (SELECT doc_id, term, weight * ((length(term) - 6) / 10.0::DOUBLE) AS contribution FROM weighted)
-    SELECT doc_id, round(sum(contribution) + 0.05 + 1e-9, 6) AS margin, count(*) AS terms FROM c GROUP BY doc_id""")
+    WITH {_GRAMS}, {_FIXED_MODEL} SELECT doc_id, round(sum(contribution) + 0.05 + 1e-9, 6) AS margin, count(*) AS terms FROM c GROUP BY doc_id""")
 def attribution_margins(lake: Lake):
-    docs = lake.spread().select("doc_id", "text")
-    terms = tfidf.doc_terms(docs, "doc_id")
-    vocab = tfidf.vocabulary(terms, docs.count())
-    coefficients = vocab.select("term", ((F.length("term") - 6) / 10.0).alias("coefficient"))
-    parts = tfidf.attribution(tfidf.weights(terms, vocab, "doc_id"), coefficients, "doc_id")
-    return parts.groupBy("doc_id").agg(round_tie_up(F.sum("contribution") + 0.05, 6).alias("margin"), F.count("*").alias("terms"))
+    own = _attributed(lake).where(F.size("term") > 0)
+    return own.select("doc_id", round_tie_up(tfidf.margin(0.05), 6).alias("margin"), F.size("term").cast("long").alias("terms"))
+
+
+@query("term_contributions", "T14", f"WITH {_GRAMS}, {_FIXED_MODEL} SELECT doc_id, term, {q.rnd('contribution', 6)} AS contribution FROM c")
+def term_contributions(lake: Lake):
+    return tfidf.term_contributions(_attributed(lake), "doc_id").withColumn("contribution", round_tie_up(F.col("contribution"), 6))
 
 
 _RANKED = """

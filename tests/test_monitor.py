@@ -85,7 +85,7 @@ def test_alert_title_falls_back_to_text(spark):
     sources = spark.createDataFrame([("s", "Name", "http://s", "rss", 4, True, 300)], SOURCES)
     rows = m.raise_alerts(items, sources).collect()
     assert len(rows) == 1
-    assert rows[0]["title"] == "x" * 120 and len(rows[0]["description"]) == 1000 and rows[0]["owner_id"] == 4
+    assert rows[0]["title"] == "x" * 120 and rows[0]["description"] == "x" * 1500 and rows[0]["owner_id"] == 4
     event = m.alert_event(m.raise_alerts(items, sources)).first()
     assert event["owner_id"] == 4 and '"event":"alert"' in event["event"]
 

@@ -1,6 +1,8 @@
 """Scorers, chunking, ensembles and roll-ups."""
 
 import math
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -152,14 +154,14 @@ def test_tfidf_by_hand(spark):
 
 def test_vectors_match_the_relation(spark, lake):
     messages = lake.messages()
-    model = tfidf.TfidfModel.fit(messages, "doc_id")
-    vectors = {r["doc_id"]: r["features"] for r in model.transform(messages, "doc_id").collect()}
+    model = tfidf.TfidfModel.fit(messages)
+    vectors = {r["doc_id"]: r["features"] for r in model.transform(messages).collect()}
     weights = tfidf.tfidf(messages, "doc_id").where("doc_id < 20").collect()
     assert weights
     slot = {t: i for i, t in enumerate(model.terms)}
     for r in weights:
         assert vectors[r["doc_id"]][slot[r["term"]]] == pytest.approx(r["weight"])
-    empty = model.transform(spark.createDataFrame([(1, "")], "doc_id long, text string"), "doc_id").first()["features"]
+    empty = model.transform(spark.createDataFrame([(1, "")], "doc_id long, text string")).first()["features"]
     assert empty.size == model.size and empty.numNonzeros() == 0
 
 
@@ -168,3 +170,26 @@ def test_attribution_adds_up(spark):
     coef = spark.createDataFrame([("a", 2.0), ("b", -1.0)], "term string, coefficient double")
     parts = tfidf.attribution(weights, coef, "doc_id")
     assert {r["doc_id"]: r["margin"] for r in tfidf.margins(parts, "doc_id", 0.5).collect()} == pytest.approx({1: 0.9, 2: 2.5})
+
+
+@pytest.mark.parametrize("size", [1, 4, 7, 60, 1000])
+def test_vocabulary_is_cut_by_frequency_then_name(spark, size):
+    rng = random.Random(size)
+    docs = [" ".join(rng.choices(["é", "Ab", "cd", "ef", "gh", "ij", "kl", "x", "m_1", "straße"], k=rng.choice([0, 1, 5, 300]))) for _ in range(40)] + [None, "", "cafe\u0301, cafe"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    got = [r["term"] for r in tfidf.vocabulary(tfidf.counted(df, keep=[]), len(docs), min_df=2, max_df=0.9, size=size).collect()]
+    plain = {ord("é"): "e", 0x301: None}
+    tokens = [[w for w in re.split(r"[^\w]+", (t or "").lower().translate(plain)) if len(w) > 1] for t in docs]
+    grams = [Counter(t + [f"{a} {b}" for a, b in zip(t, t[1:])]) for t in tokens]
+    df_, cf = Counter(g for c in grams for g in c), sum(grams, Counter())
+    kept = sorted((g for g in cf if 2 <= df_[g] <= 0.9 * len(docs)), key=lambda g: (-cf[g], g))
+    assert sorted(got) == sorted(kept[:size])
+
+
+def test_cut_of_high_frequencies(spark):
+    values = [3, 3, 70, 71, 71, 5000, 5001, 123456789, 123456790, 123456791, 1 << 40, (1 << 40) + 1]
+    kept = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "term string, cf long")
+    for size in range(1, len(values)):
+        cut = sorted(values, reverse=True)[size - 1]
+        assert tfidf._cut(kept, size) == (cut, sum(v > cut for v in values))
+    assert tfidf._cut(kept, len(values)) == (0, 0)
