@@ -167,6 +167,27 @@ def test_near_copies_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
 
 
+def test_near_copies_of_a_dense_group(spark):
+    """One large group whose members are mostly below the similarity that links: share of the exact links that are kept together."""
+    rng = random.Random(3)
+    words = [f"w{n}" for n in range(220)]
+    rows = []
+    for n in range(700):
+        copy = list(words)
+        for _ in range(rng.choice((2, 4, 6, 8, 10))):
+            copy[rng.randrange(len(words))] = f"x{rng.randrange(9999)}"
+        rows.append((n, " ".join(copy)))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = near_copies.stored(near_copies.signatures(docs, "doc_id", "text"), "test-signatures")
+    nodes = near_copies.stored(prints.select("node", F.struct(F.lit(False).alias("last"), "doc_id", "digest").alias("low"), "size", "keys", "parts").dropDuplicates(["node"]), "test-nodes")
+    root = {r["low"]["doc_id"]: r["root"] for r in near_copies.similar_nodes(nodes, docs, "doc_id", "text").collect()}
+    together = sum(root[a] == root[b] for a, b in links)
+    print("links", len(links), "of", len(rows) * (len(rows) - 1) // 2, "kept", together / len(links))
+    assert len(links) > 1000 and together >= 0.9 * len(links)
+
+
 def test_links_by_one_bit_in_a_segment(spark):
     near = [0, 0b1111, 1 << 22 | 1 << 43 | 1, (1 << 63) - 1, (1 << 63) - 2, 0xF0F0F0F0F0F, 0xF0F0F0F0F0F ^ (1 << 3 | 1 << 30 | 1 << 50 | 1 << 60)]
     got = {r["fp"]: r["root"] for r in simhash.linked_fingerprints(spark.createDataFrame([(x,) for x in near], "fp long")).collect()}
@@ -392,14 +413,21 @@ def test_pipeline(spark):
     kept = {r["doc_id"] for r in quality.quality_report(docs).where("kept").collect()}
     rows = [(i, t) for i, t in pairs(docs) if i in kept]
     left = lines_left(rows)
-    rows = [(i, left[(True, i, t)]) for i, t in rows]
+    rows = sorted((i, left[(True, i, t)]) for i, t in rows)
     rows = [(i, t) for i, t in rows if WORD.search(t)]
-    rows = [(i, t) for (i, t), g in zip(rows, grouped(rows)) if g[2] == i]
 
     def shingles(text):
         w = WORD.findall(text.lower())
         return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
+    sets = [shingles(t) for _, t in rows]
+    low = list(range(len(rows)))  # rows ascend by id
+    for a in range(len(rows)):
+        for b in range(a):
+            if low[a] != low[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                one, other = sorted((low[a], low[b]))
+                low = [one if x == other else x for x in low]
+    rows = [r for n, r in enumerate(rows) if low[n] == n]
     items = [s for s in map(shingles, bench) if s]
     rows = [(i, t) for i, t in rows if not any(10 * len(shingles(t) & s) >= 8 * len(s) for s in items)]
     got = corpus_pipeline.run(spark, SMALL).collect()
