@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.tables import received, shipped
 from riskloom.llm.words import pieces_of, ragged, split_words, string_buffers, text_array
 
 UNKNOWN = "und"
@@ -203,12 +204,13 @@ def fold(key: Column, folds: int) -> Column:
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The given columns (but those named as the result's), lang_pred, score and accepted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
     added = ["lang_pred", "score", "accepted"]
 
     def run(batches):
+        fitted = received(shared)
         for batch in pieces_of(batches, "text"):
-            lang, score, accepted = predict(text_array(batch["text"]), shared.value)
+            lang, score, accepted = predict(text_array(batch["text"]), fitted)
             yield pa.RecordBatch.from_arrays([batch["row"], lang, pa.array(score), pa.array(accepted)], ["row", *added])
 
     kept = [c for c in docs.columns if c not in added]

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.double_array import DoubleArray, double_array, trie
+from riskloom.llm.tables import received, shipped
 from riskloom.llm.words import pieces_of, ragged, string_buffers, text_array
 from riskloom.session import shared_dir
 
@@ -266,7 +267,7 @@ def _summed(chunks: DataFrame, shared, counts, v: Pieces) -> np.ndarray:
 
     def run(batches):
         scores, unknown = sent.value
-        pieces = replace(shared.value, scores=scores, unknown=unknown)
+        pieces = replace(received(shared), scores=scores, unknown=unknown)
         total = np.zeros(len(scores))
         for batch in pieces_of(batches, "chunk", SLICE_BYTES // 2):
             total += counts(*string_buffers(batch["chunk"].cast(pa.binary())), batch["n"].to_numpy(), pieces)
@@ -283,7 +284,7 @@ def _summed(chunks: DataFrame, shared, counts, v: Pieces) -> np.ndarray:
 def estimated(docs: DataFrame, v: Pieces, text_col: str = "text", rounds: int = ROUNDS) -> Pieces:
     """The vocabulary with log probabilities of its pieces in all texts."""
     chunks = chunk_counts(docs.select(F.col(text_col).cast("string").alias("text")))
-    shared = docs.sparkSession.sparkContext.broadcast(v)
+    shared = shipped(docs.sparkSession, v)
     v = with_counts(v, _summed(chunks, shared, substring_counts, v))
     for _ in range(rounds):
         v = with_counts(v, _summed(chunks, shared, expected_counts, v))
@@ -327,11 +328,11 @@ RESULT = "ids array<int>, n_pieces long, n_byte_pieces long, log_score double, d
 def sentencepieces(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
     """The given columns and ids, n_pieces, n_byte_pieces, log_score and the decoded text, by the pieces' probabilities in these texts."""
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(estimated(docs, load_pieces(model), text_col))
+    shared = shipped(spark, estimated(docs, load_pieces(model), text_col))
     added = [part.split()[0] for part in RESULT.split(", ")]
 
     def run(batches):
-        v = shared.value
+        v = received(shared)
         is_byte = np.zeros(len(v.scores), np.int64)
         is_byte[v.byte_ids] = 1
         for batch in pieces_of(batches, "text", SLICE_BYTES):

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.double_array import DoubleArray, double_array, trie
 from riskloom.llm.sentencepieces import MARKER, MODEL
+from riskloom.llm.tables import received, shipped
 from riskloom.llm.words import pieces_of, split_words, string_buffers, text_array
 
 INSIDE = b"\xff"  # leads to the continuation pieces; no UTF-8 text holds it
@@ -121,15 +122,16 @@ RESULT = "n_words long, n_tokens long, n_unknown long"
 
 def token_counts(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
     """The given columns and n_words, n_tokens and n_unknown of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(build_automaton(*word_pieces(model)))
+    shared = shipped(docs.sparkSession, build_automaton(*word_pieces(model)))
     added = [part.split()[0] for part in RESULT.split(", ")]
 
     def run(batches):
+        automaton = received(shared)
         for batch in pieces_of(batches, "text"):
             words, counts = split_words(text_array(batch["text"]), lower=False)
             coded = words.dictionary_encode()
             code = coded.indices.to_numpy(zero_copy_only=False)
-            pieces = count_pieces(*string_buffers(coded.dictionary), shared.value)
+            pieces = count_pieces(*string_buffers(coded.dictionary), automaton)
             ends = np.append(0, np.cumsum(counts))
             tokens = np.append(0, np.cumsum(np.maximum(pieces, 1)[code]))[ends]
             unknown = np.append(0, np.cumsum((pieces == 0)[code]))[ends]
