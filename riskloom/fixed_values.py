@@ -34,8 +34,13 @@ FILE_READERS = (
 
 CHUNK_CHARS = 4000
 TOP_KEYWORDS = 15
+
+# Usual lengths of short displays; no operator cuts by them unless asked to.
 FEED_LIMITS = {"rss": 50, "telegram": 30}
 ARTICLES_PER_PAGE = 25
+TITLE_CHARS = 300
+PARAGRAPH_CHARS = 400
+FINGERPRINT_CHARS = 500
 
 # Common English words left out of n-gram rankings.
 ENGLISH_STOP_WORDS = (

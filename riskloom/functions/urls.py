@@ -105,9 +105,10 @@ def article_id(canonical: Column) -> Column:
     return F.concat(F.lit("url:"), F.substring(F.sha1(canonical), 1, 24))
 
 
-def page_id(url: Column, title: Column, text: Column, fingerprint_chars: int = 500) -> Column:
-    """Identity of a whole page; the fingerprint length is part of the id format."""
-    mark = F.sha1(F.concat(title, F.lit("\n"), F.substring(text, 1, fingerprint_chars)))
+def page_id(url: Column, title: Column, text: Column, fingerprint_chars: int | None = None) -> Column:
+    """Identity of a page version: its address and a digest of title and whole text, or of the text's first ``fingerprint_chars``."""
+    body = text if fingerprint_chars is None else F.substring(text, 1, fingerprint_chars)
+    mark = F.sha1(F.concat(title, F.lit("\n"), body))
     return F.concat(F.lit("url:"), url, F.lit(":"), F.substring(mark, 1, 16))
 
 

@@ -176,9 +176,20 @@ def trend_kpis(points: DataFrame) -> DataFrame:
     )
 
 
-def trend_pivot(points: DataFrame, source_ids: list[str]) -> DataFrame:
-    """One row per day, one column per chosen source, null where a source has no point."""
-    return points.groupBy("date").pivot("source_id", source_ids).agg(F.max("avg_threat_score"))
+MAX_SERIES = 10_000
+
+
+def series_ids(points: DataFrame, most: int = MAX_SERIES) -> list[str]:
+    """All series of the points in order; more than ``most`` cannot be columns and are an error, never cut."""
+    ids = [row[0] for row in points.select("source_id").distinct().orderBy("source_id").limit(most + 1).collect()]
+    if len(ids) > most:
+        raise ValueError(f"more than {most} series: keep the points in rows, or choose the series to pivot")
+    return ids
+
+
+def trend_pivot(points: DataFrame, source_ids: list[str] | None = None) -> DataFrame:
+    """One row per day, one column per source (all of them, or the chosen ones), null where a source has no point."""
+    return points.groupBy("date").pivot("source_id", series_ids(points) if source_ids is None else source_ids).agg(F.max("avg_threat_score"))
 
 
 def series_names(points: DataFrame, sources: DataFrame) -> DataFrame:

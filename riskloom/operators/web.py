@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.fixed_values import ARTICLES_PER_PAGE, NON_ARTICLE_PREFIXES
+from riskloom.fixed_values import NON_ARTICLE_PREFIXES
 from riskloom.functions.arrays import first_of_runs, let
 from riskloom.functions.text import strip
 from riskloom.functions.urls import article_id, canonical_url, page_id, path_segments, resolve_link, url_parts
@@ -152,8 +152,8 @@ def with_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(_link_batches, schema)
 
 
-def article_links(links: Column, url: Column, limit: int = ARTICLES_PER_PAGE) -> Column:
-    """Links that lead to articles of the same host, first sighting per canonical address, at most ``limit``."""
+def article_links(links: Column, url: Column, limit: int | None = None) -> Column:
+    """Links that lead to articles of the same host, first sighting per canonical address; all, or the first ``limit``."""
     _, home, _ = url_parts(url)
 
     def shape(link: Column) -> Column:
@@ -175,27 +175,34 @@ def article_links(links: Column, url: Column, limit: int = ARTICLES_PER_PAGE) ->
 
     kept = F.filter(F.transform(links, shape), leads)
     first = F.transform(first_of_runs(kept, "canonical"), titled)
-    return F.slice(F.sort_array(F.filter(first, lambda x: x["full_title"].isNotNull())), 1, limit)
+    ordered = F.sort_array(F.filter(first, lambda x: x["full_title"].isNotNull()))
+    return ordered if limit is None else F.slice(ordered, 1, limit)
 
 
-def articles(pages: DataFrame, limit: int = ARTICLES_PER_PAGE) -> DataFrame:
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def articles(pages: DataFrame, limit: int | None = None, title_chars: int | None = None, paragraph_chars: int | None = None,
+             fingerprint_chars: int | None = None) -> DataFrame:
     """Article items of each page; a page without any yields itself as one item.
 
-    A page is one row: its links are parsed, chosen and cut inside the row, and
-    nothing is shuffled.
+    A page is one row: its links are parsed and chosen inside the row, and nothing
+    is shuffled.  All articles are kept with whole titles and paragraphs; the
+    arguments cut them for a display (see ``fixed_values``).
     """
     found = article_links(F.col("links"), F.col("url"), limit)
     joined = with_links(pages).select("page_id", F.col("url").alias("source"), "html", F.explode_outer(found).alias("found"))
-    snippet = F.substring("found.paragraph", 1, 400)
+    snippet = _cut(F.col("found.paragraph"), paragraph_chars)
     full_title, canonical = F.col("found.full_title"), F.col("found.canonical")
     body = F.when(F.length(snippet) > 0, F.concat(full_title, F.lit("\n\n"), snippet)).otherwise(full_title)
     lone = canonical.isNull()
     shaped = joined.select(
         "page_id", "source", canonical.alias("canonical"),
-        F.when(lone, F.coalesce(page_title(F.col("html")), F.col("source"))).otherwise(F.substring(full_title, 1, 300)).alias("title"),
+        F.when(lone, F.coalesce(page_title(F.col("html")), F.col("source"))).otherwise(_cut(full_title, title_chars)).alias("title"),
         F.when(lone, visible_text(F.col("html"), LINK_NOISE)).otherwise(strip(body)).alias("text"))
     lone = F.col("canonical").isNull()
-    identity = F.when(lone, page_id(F.col("source"), F.col("title"), F.col("text"))).otherwise(article_id(F.col("canonical")))
+    identity = F.when(lone, page_id(F.col("source"), F.col("title"), F.col("text"), fingerprint_chars)).otherwise(article_id(F.col("canonical")))
     return shaped.select("page_id", identity.alias("external_id"), "source", "title", "text", F.coalesce("canonical", "source").alias("url"))
 
 

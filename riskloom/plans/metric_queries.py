@@ -190,13 +190,9 @@ def trend_series(lake: Lake):
     return a.series_names(_points(lake), m.owned(lake.sources(), OWNER_ID))
 
 
-_SERIES = ["src1", "src6", "src11", "src16"]
-
-
-@query("trend_pivot", "U3", q.with_views("items sources", _points_sql("") + "SELECT date, "
-    + ", ".join(f"max(avg_threat_score) FILTER (source_id = '{s}') AS {s}" for s in _SERIES) + " FROM points GROUP BY date"))
+@query("trend_pivot", "U3", q.with_views("items sources", _points_sql("") + "SELECT * FROM (PIVOT points ON source_id USING max(avg_threat_score) GROUP BY date)"))
 def trend_pivot(lake: Lake):
-    return a.trend_pivot(_points(lake), _SERIES)
+    return a.trend_pivot(_points(lake))
 
 
 @query("daily_volume", "A38", q.with_views("items", f"SELECT {q.zone_day('collected_at')} AS date, count(*) AS posts, {q.rnd('avg(threat_score)')} AS avg_score, max(threat_score) AS max_score FROM items GROUP BY 1"))

@@ -79,8 +79,7 @@ def file_dispatch(lake: Lake):
 @query("feed_entries", "S6 F7", f"""
     SELECT feed, 'rss:' || substr(sha1('post-' || doc_id || '|' || title || '|' || lang), 1, 24) AS external_id, title,
            {q.strip("title || chr(10) || chr(10) || body")} AS text, feed AS url, lang AS published
-    FROM (SELECT source AS feed, doc_id, lang, 'Post ' || doc_id AS title, {q.strip(_FLAT)} AS body,
-                 row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 50""")
+    FROM (SELECT source AS feed, doc_id, lang, 'Post ' || doc_id AS title, {q.strip(_FLAT)} AS body FROM documents)""")
 def feed_entries(lake: Lake):
     flat = F.regexp_replace(F.regexp_replace("text", f"[{q.WS}]+", " "), "^ | $", "")
     shaped = F.struct(

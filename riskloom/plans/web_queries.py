@@ -47,7 +47,7 @@ def page_links(lake: Lake):
 
 
 @query("page_articles", "H3 H4 F8 F9", f"""
-    SELECT page_id, 'url:' || url || ':' || substr(sha1(title || chr(10) || substr(text, 1, 500)), 1, 16) AS external_id, url AS source, title, text, url FROM (
+    SELECT page_id, 'url:' || url || ':' || substr(sha1(title || chr(10) || text), 1, 16) AS external_id, url AS source, title, text, url FROM (
         SELECT page_id, url, coalesce({_TITLE}, url) AS title, {_visible('html', web.LINK_NOISE)} AS text FROM pages)""")
 def page_articles(lake: Lake):
     return web.articles(lake.spread("pages", "page_id"))

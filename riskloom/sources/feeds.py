@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.fixed_values import FEED_LIMITS
 from riskloom.functions.text import strip
 from riskloom.functions.urls import feed_item_id
 from riskloom.operators.ranking import row_index
@@ -27,8 +26,11 @@ def parse_entry(xml: Column) -> Column:
 
 
 def feed_items(entries: DataFrame, source_type: str, block: Column, order: str = "seq", limit: int | None = None) -> DataFrame:
-    """Items of feed entries (feed, entry): fallbacks for missing fields, text, id, first ``limit`` entries per feed."""
-    limit = limit or FEED_LIMITS.get(source_type)
+    """Items of feed entries (feed, entry): fallbacks for missing fields, text, id.
+
+    Every entry becomes an item; with ``limit`` only the first ones of each feed
+    (a display may take ``FEED_LIMITS[source_type]``).
+    """
     kept = row_index(entries, ["feed"], order, block, limit, name="entry_no")
     e = F.col("entry")
 

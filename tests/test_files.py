@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators.ranking import position_block
 from riskloom.sources import feeds, files, labelled, sinks
 
 
@@ -98,6 +99,14 @@ def test_feed(spark, tmp_path):
     assert feeds.feed_items(entries, "rss", F.col("block"), limit=2).count() == 2
 
 
+def test_a_feed_keeps_every_entry(spark):
+    entry = F.struct(F.col("id").cast("string").alias("title"), F.lit("body").alias("description"), *[F.lit(None).cast("string").alias(c) for c in
+                     ("summary", "link", "pubDate", "updated", "guid", "id", "author")])
+    entries = spark.range(20_000).select(F.lit("f").alias("feed"), F.col("id").alias("seq"), entry.alias("entry"))
+    for kind in ("rss", "telegram"):
+        assert feeds.feed_items(entries, kind, position_block("seq")).count() == 20_000
+
+
 def test_report_quotes_every_cell(spark, tmp_path):
     row = [(1, "text", "completed", 0.5, "medium", {"m": 0.5}, None, "en", ['say "hi"', "b"], dt.datetime(2024, 1, 2, 3, 4, 5)), (2, "url", "failed", None, None, None, None, None, None, None)]
     schema = "id long, analysis_type string, status string, threat_score double, threat_level string, model_scores map<string,double>, sentiment string, language string, keywords array<string>, created_at timestamp_ntz"

@@ -74,3 +74,16 @@ def test_element_names_are_matched_whole(spark):
 
 def test_articles_need_no_shuffle(pages):
     assert "Exchange" not in web.articles(pages)._jdf.queryExecution().executedPlan().toString().replace("InMemoryTableScan", "")
+
+
+def test_nothing_is_cut_unless_asked(spark):
+    links = "".join(f'<h2><a href="/news/story-{i}">{"Long title " * 40}{i}</a></h2><p>{"word " * 200}{i}</p>' for i in range(60))
+    pages = spark.createDataFrame([(1, "https://h.example/", f"<main>{links}</main>"), (2, "https://h.example/p", "<p>" + "x" * 900 + "</p>"),
+                                   (3, "https://h.example/p", "<p>" + "x" * 900 + "y</p>")], "page_id long, url string, html string")
+    rows = web.articles(pages).collect()
+    assert len([r for r in rows if r["page_id"] == 1]) == 60
+    assert all(r["title"].startswith("Long title " * 40) and r["text"].endswith("word " + r["url"].rsplit("-", 1)[1]) for r in rows if r["page_id"] == 1)
+    assert len({r["external_id"] for r in rows if r["page_id"] > 1}) == 2
+    short = web.articles(pages, limit=25, title_chars=300, paragraph_chars=400, fingerprint_chars=500).collect()
+    assert len([r for r in short if r["page_id"] == 1]) == 25 and len({r["external_id"] for r in short if r["page_id"] > 1}) == 1
+    assert all(len(r["title"]) == 300 for r in short if r["page_id"] == 1)
