@@ -84,6 +84,16 @@ def test_rule_order_keeps_verdicts(docs):
     assert [m.gain for m in measured] == sorted((m.gain for m in measured), reverse=True)
 
 
+def test_rule_sample_is_written_once(spark, tmp_path, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(quality, "shared_dir", lambda _, name: drawn.append(str(tmp_path / f"{name}-{len(drawn)}")) or drawn[-1])
+    docs = spark.createDataFrame([(i, "w " * (5 if i % 2 else 40)) for i in range(400)], "doc_id long, text string")
+    measured = quality.order_rules(docs, sample_rows=100)
+    assert len(drawn) == 1 and 0 < spark.read.parquet(drawn[0]).count() < 400
+    assert {m.rule.name for m in measured} == {r.name for r in quality.RULES}
+    assert 0.3 < next(m.rejected for m in measured if m.rule.name == "few_words") < 0.7
+
+
 # --- benchmark decontamination ---
 
 def test_decontamination(spark, odd):
