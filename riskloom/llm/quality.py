@@ -30,7 +30,7 @@ TIMINGS = 3
 
 @dataclass(frozen=True)
 class Rule:
-    """``reject`` maps the text column to a condition; ``base`` marks the two fixed rules."""
+    """``reject`` maps the counts of a text to a condition; ``base`` marks the two fixed rules."""
 
     name: str
     reject: "callable"
@@ -102,16 +102,35 @@ def _covered(digests: Column) -> Column:
 
 
 def _letters(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\p{L}"), 0))
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\P{L}+", ""))
+
+
+COUNTS = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words,
+          "n_lines": lambda t: F.size(_lines_with_word(t)), "letters": _letters}
+
+
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+class Counts:
+    """What rules read: each name of ``COUNTS`` as a column of the table if it is among ``known``, else computed from the text."""
+
+    def __init__(self, text: Column, known: tuple[str, ...] = ()):
+        self.text, self.known = text, known
+
+    def __getattr__(self, name: str) -> Column:
+        if name not in COUNTS:
+            raise AttributeError(name)
+        return F.col(name) if name in self.known else COUNTS[name](self.text)
 
 
 RULES = (
-    Rule("few_words", lambda t: n_words(t) < 20, base=True),
-    Rule("repeated_words", lambda t: 100 * n_repeat_words(t) > 30 * n_words(t), base=True),
-    Rule("word_length", lambda t: (word_chars(t) < 2 * n_words(t)) | (word_chars(t) > 15 * n_words(t))),
-    Rule("symbols", lambda t: 10 * n_symbols(t) > n_words(t)),
-    Rule("repeated_lines", lambda t: 100 * n_dup_lines(t) > 30 * F.size(_lines_with_word(t))),
-    Rule("few_letters", lambda t: 2 * _letters(t) < word_chars(t)),
+    Rule("few_words", lambda c: c.n_words < 20, base=True),
+    Rule("repeated_words", lambda c: 100 * c.n_repeat_words > 30 * c.n_words, base=True),
+    Rule("word_length", lambda c: (c.word_chars < 2 * c.n_words) | (c.word_chars > 15 * c.n_words)),
+    Rule("symbols", lambda c: 10 * c.n_symbols > c.n_words),
+    Rule("repeated_lines", lambda c: 100 * c.n_dup_lines > 30 * c.n_lines),
+    Rule("few_letters", lambda c: 2 * c.letters < c.word_chars),
 )
 
 
@@ -154,16 +173,17 @@ def order_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     idle, _ = run(F.length("text") < 0)
     measured = []
     for rule in rules:
-        seconds, rejected = run(F.coalesce(rule.reject(F.col("text")), F.lit(False)))
+        seconds, rejected = run(F.coalesce(rule.reject(Counts(F.col("text"))), F.lit(False)))
         measured.append(Measured(rule, max(seconds - idle, 1e-3), rejected))
     return sorted(measured, key=lambda m: -m.gain)
 
 
-def cascade(text: Column, measured: list[Measured]) -> Column:
-    """Name of the first rule that rejects the text, null if none does."""
+def cascade(text: Column, measured: list[Measured], known: tuple[str, ...] = ()) -> Column:
+    """Name of the first rule that rejects the text, null if none does; counts in ``known`` are read from columns of that name."""
+    counts = Counts(text, known)
     chain = F.when(F.lit(False), F.lit(None).cast("string"))
     for m in measured:
-        chain = chain.when(m.rule.reject(text), F.lit(m.rule.name))
+        chain = chain.when(m.rule.reject(counts), F.lit(m.rule.name))
     return chain.otherwise(F.lit(None).cast("string"))
 
 
@@ -175,15 +195,14 @@ def quality_filter(docs: DataFrame, text_col: str = "text", sample_rows: int = S
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of every text, the verdict of the fixed rules, and that of the whole cascade.
 
-    The counts are reported for every row, so the fixed rules read them; the
-    cascade then runs only its further rules, on the rows that are left.
+    The counts are reported for every row, so all rules read them there; the
+    cascade then runs only its further rules, on the rows that are left, and
+    computes from the text only what is not reported.
     """
     measured = [m for m in order_rules(docs, text_col) if not m.rule.base]
     text = F.col("text")
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(
-        "doc_id", "text", n_words(text).alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"),
-        n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(text).alias("n_repeat_words"),
-    )
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    counted = named.select("doc_id", "text", *[COUNTS[name](text).alias(name) for name in REPORTED])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    verdict = F.when(failed, F.lit(False)).otherwise(cascade(text, measured).isNull())
-    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), verdict.alias("kept"))
+    verdict = F.when(failed, F.lit(False)).otherwise(cascade(text, measured, REPORTED).isNull())
+    return counted.select("doc_id", *REPORTED, failed.alias("base_failed"), verdict.alias("kept"))
