@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scores import level_of
+from riskloom.functions.times import ntz
 from riskloom.plans import sql as q
 from riskloom.plans.registry import query
 from riskloom.plans.views import Lake
 from riskloom.session import shared_dir
 from riskloom.streaming import collector as c
 from riskloom.streaming import live
+from riskloom.streaming.tiers import TieredStore
 
 _POLLED = "source_id IN (SELECT source_id FROM sources WHERE is_active)"
 ITEM_COLUMNS = ["source_id", "source_type", "external_id", "title", "text", "threat_score", "collected_at"]
@@ -86,26 +90,41 @@ def owner_alert_routes(lake: Lake):
     return lake.spark.read.schema(alerts.schema).parquet(f"{base}/out").groupBy("owner_id").agg(F.count("*").alias("n"), F.max("threat_score").alias("top_score"))
 
 
-def _snapshot(lake: Lake, name: str, table: DataFrame, build) -> DataFrame:
+def land_in_order(df: DataFrame, time: str, folder: str, slices: int = 4) -> str:
+    """Write a landing folder slice by slice of time; the width of a slice, in which its files may come in any order."""
+    low, high = df.agg(F.min(time), F.max(time)).first()
+    if low is None:
+        df.write.mode("append").parquet(folder)
+        return "0 seconds"
+    width = int((high - low).total_seconds()) // slices + 1
+    for n in range(slices):
+        edge, stop = low + dt.timedelta(seconds=n * width), low + dt.timedelta(seconds=(n + 1) * width)
+        df.where((F.col(time) >= ntz(edge)) & (F.col(time) < ntz(stop))).write.mode("append").parquet(folder)
+    return f"{width} seconds"
+
+
+def _live(lake: Lake, name: str, table: DataFrame, keys: list[str], time: str, build) -> DataFrame:
+    """The store of an aggregation that is fed by update-mode batches."""
     base = shared_dir(lake.spark, name)
-    land(table, f"{base}/landing")
-    stream = c.landed(lake.spark, f"{base}/landing", table.schema, files_per_batch=2)
-    c.run_to_end(c.to_snapshot(build(stream), f"{base}/out", f"{base}/checkpoint"))
-    return c.newest_snapshot(lake.spark, f"{base}/out")
+    delay = land_in_order(table, time, f"{base}/landing")
+    stream = build(c.landed(lake.spark, f"{base}/landing", table.schema, files_per_batch=2), delay)
+    store = TieredStore(lake.spark, f"{base}/store", keys, stream.schema)
+    c.run_to_end(store.run(stream, f"{base}/checkpoint"))
+    return store.read()
 
 
 @query("live_metrics", "R5 A1 A2 A5", q.with_views("analyses", f"""
     SELECT user_id, count(*) AS total_analyses, {q.rnd("coalesce(avg(threat_score) FILTER (status = 'completed'), 0)")} AS avg_threat_score,
            count(*) FILTER (analysis_type = 'document') AS upload, count(*) FILTER (analysis_type = 'text') AS text FROM analyses GROUP BY user_id"""))
 def live_metrics(lake: Lake):
-    return _snapshot(lake, "live-metrics", lake.analyses(), live.user_metrics)
+    return _live(lake, "live-metrics", lake.analyses(), ["user_id"], "created_at", lambda s, delay: live.user_metrics(s))
 
 
 @query("live_daily_trend", "R6 A6", q.with_views("items", f"""
     SELECT {q.zone_day('collected_at')} AS date, source_id, count(*) AS item_count, {q.rnd('avg(threat_score)')} AS avg_threat_score FROM items GROUP BY 1, 2"""))
 def live_daily_trend(lake: Lake):
     items = lake.items().select("source_id", "collected_at", "threat_score")
-    return _snapshot(lake, "live-daily", items, live.daily_trend)
+    return _live(lake, "live-daily", items, ["date", "source_id"], "collected_at", live.daily_trend)
 
 
 @query("live_rolling_trend", "R7 A3", q.with_views("analyses", f"""
@@ -113,5 +132,5 @@ def live_daily_trend(lake: Lake):
     FROM analyses WHERE status = 'completed' AND created_at >= {q.AS_OF} - INTERVAL 48 HOUR GROUP BY user_id"""))
 def live_rolling_trend(lake: Lake):
     as_of = lake.as_of
-    parts = _snapshot(lake, "live-rolling", lake.analyses(), lambda s: live.hourly_parts(s, as_of))
+    parts = _live(lake, "live-rolling", lake.analyses(), ["user_id", "hour"], "created_at", lambda s, delay: live.hourly_parts(s, as_of, delay))
     return live.rolling_trend(parts, as_of)

@@ -30,7 +30,9 @@ def user_metrics(analyses: DataFrame) -> DataFrame:
 def daily_trend(items: DataFrame, delay: str = "1 day", zone: str = ZONE) -> DataFrame:
     """Items and mean score per local calendar day and source.
 
-    Days are windows over the shifted local time; the watermark bounds the state.
+    Days are windows over the shifted local time.  In update mode a day leaves
+    the state once it ends before the watermark; rows later than ``delay`` that
+    belong to such a day are dropped by the stream.
     """
     local = items.withColumn("local", _instant(in_zone(F.col("collected_at"), zone))).withWatermark("local", delay)
     out = local.groupBy(F.window("local", "1 day"), "source_id").agg(F.count("*").alias("item_count"), F.avg("threat_score").alias("_avg"))
@@ -42,7 +44,8 @@ def hourly_parts(analyses: DataFrame, as_of: dt.datetime, delay: str = "1 hour")
     """Sums per user and hour, hours counted back from ``as_of``.
 
     Rolling 24-hour values are sums of 24 parts, so each row updates one piece
-    of state instead of the 24 overlapping windows it belongs to.
+    of state instead of the 24 overlapping windows it belongs to.  In update mode
+    closed hours leave the state, as in ``daily_trend``.
     """
     offset = (as_of - EPOCH) % dt.timedelta(hours=1)
     shift = f"{int(offset.total_seconds() * 1_000_000)} microseconds"

@@ -10,6 +10,7 @@ from riskloom.functions.scores import level_of
 from riskloom.operators import metrics
 from riskloom.streaming import collector as c
 from riskloom.streaming import live
+from riskloom.streaming.tiers import TieredStore
 
 NOW = dt.datetime(2024, 3, 10, 12, 0, 0)
 ITEM = "source_id string, source_type string, external_id string, title string, text string, threat_score double, collected_at timestamp_ntz"
@@ -171,3 +172,42 @@ def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
     monkeypatch.setattr(Context, "master", "local[2]")
     first, second = session.shared_dir(Cluster(), "x"), session.shared_dir(Cluster(), "x")
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+
+
+def test_late_days_leave_the_state(spark, tmp_path):
+    base = str(tmp_path)
+
+    def land(days):
+        rows = [(f"s{i}", NOW + dt.timedelta(days=d), 0.5) for d in days for i in range(4)]
+        spark.createDataFrame(rows, "source_id string, collected_at timestamp_ntz, threat_score double").coalesce(1).write.mode("append").parquet(f"{base}/landing")
+
+    for days in [range(10), [10], [30], [2], [31]]:  # day 2 comes back when it is long closed
+        land(days)
+    schema = spark.createDataFrame([], "source_id string, collected_at timestamp_ntz, threat_score double").schema
+    stream = live.daily_trend(c.landed(spark, f"{base}/landing", schema, files_per_batch=1), delay="2 days")
+    store = TieredStore(spark, f"{base}/store", ["date", "source_id"], stream.schema, fanout=2)
+    query = store.run(stream, f"{base}/checkpoint")
+    c.run_to_end(query)
+    states = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert max(s["numRowsTotal"] for s in states) >= 40 and states[-1]["numRowsTotal"] <= 12
+    assert sum(s["numRowsDroppedByWatermark"] for s in states) == 4
+    rows = store.read().collect()
+    assert len(rows) == 13 * 4 and {r["item_count"] for r in rows} == {1}
+
+
+def test_tiers_merge_and_repeat(spark, tmp_path):
+    schema = spark.createDataFrame([], "k string, n long, extra array<int>").schema
+    store = TieredStore(spark, str(tmp_path / "store"), ["k"], schema, fanout=2)
+    assert store.read().collect() == [] and store.segments() == []
+    expected = {}
+    for batch_id in range(7):
+        rows = [(k, batch_id, [batch_id]) for k in (None, "always", f"only {batch_id}", f"third {batch_id % 3}")]
+        expected |= {k: n for k, n, _ in rows}
+        for _ in range(2 if batch_id in (3, 6) else 1):  # as after a failure before the checkpoint
+            store.add(spark.createDataFrame(rows, schema), batch_id)
+        assert {r["k"]: r["n"] for r in store.read().collect()} == expected
+    assert store.segments() == [(2, 0), (1, 4), (0, 6)]
+    store.add(spark.createDataFrame([], schema), 7)
+    assert store.segments() == [(3, 0)] and {r["k"]: r["n"] for r in store.read().collect()} == expected
+    with pytest.raises(ValueError):
+        TieredStore(spark, str(tmp_path), ["k"], schema, fanout=1)
