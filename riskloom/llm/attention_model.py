@@ -25,6 +25,8 @@ BATCH = 256
 HIDE = np.float32(-1e9)
 BACK_OFF = 5.0  # weight of the overall shares among the followers of an id
 LARGEST = 60.0  # exponents up to this need no shift
+TRAINED = ("ids", "places", "q", "k", "v", "o", "in", "in_bias", "out", "class", "member")
+REFINE_BATCH, REFINE_RATE = 256, 0.002
 
 
 @dataclass
@@ -69,77 +71,156 @@ def initial(pairs: np.ndarray, rng: np.random.Generator) -> Model:
     }, *follower_priors(pairs))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of each row in place, and the log of their common divisor."""
+    top = x.max(axis=-1, keepdims=True)
+    x -= top
+    np.exp(x, out=x)
+    whole = x @ np.ones((x.shape[-1], 1), np.float32)
+    x /= whole
+    return x, (np.log(whole) + top)[..., 0]
+
+
+def _summed(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the rows of each index."""
+    out = np.zeros((size, rows.shape[1]), np.float32)
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    sorted_ = at[order]
+    first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    out[sorted_[first]] = np.add.reduceat(np.take(rows, order, axis=0), first, axis=0)
+    return out
 
 
 def _step(model: Model, ids: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of windows whose places all count, and its gradient."""
-    w, last = model.weights, ids.ravel()
-    n, scale = targets.size, np.float32(WIDTH ** -0.5)
-    x = w["ids"][ids] + w["places"]
-    q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-    a = np.exp(_log_softmax(q @ k.transpose(0, 2, 1) * scale + mask))
+    """Mean loss of the places of windows whose target is a leaf, and its gradient."""
+    w, scale = model.weights, np.float32(WIDTH ** -0.5)
+    real = np.flatnonzero((targets < LEAVES).ravel())
+    last, target = ids.ravel()[real], targets.ravel()[real]
+    n = max(1, len(real))
+    x = np.take(w["ids"], ids, axis=0) + w["places"]
+    q, k, v = x @ w["q"] * scale, x @ w["k"], x @ w["v"]
+    a = q @ k.transpose(0, 2, 1)
+    a += mask
+    a, _ = _shares(a)
     mixed = a @ v
     h = x + mixed @ w["o"]
-    pre = h @ w["in"] + w["in_bias"]
+    flat = lambda y: y.reshape(-1, y.shape[-1])
+    pre = flat(h) @ w["in"] + w["in_bias"]
     u = np.maximum(pre, 0)
-    z = (h + u @ w["out"]).reshape(-1, WIDTH)
-    target = targets.ravel()
+    z = np.take(flat(h) + u @ w["out"], real, axis=0)
     kind, member = target // MEMBERS, target % MEMBERS
-    rows = np.arange(n)
-    by_class = _log_softmax(z @ w["class"] + model.class_prior[last])
-    loss = -by_class[rows, kind].sum()
-    g = {name: np.zeros_like(value) for name, value in w.items()}
-    d = np.exp(by_class)
+    g, rows = {}, np.arange(len(real))
+    d = z @ w["class"]
+    d += np.take(model.class_prior, last, axis=0)
+    chosen = d[rows, kind]
+    d, whole = _shares(d)
+    loss = float((whole - chosen).sum())
     d[rows, kind] -= 1
     g["class"] = z.T @ d
     dz = d @ w["class"].T
-    for c in np.unique(kind):
-        at = np.flatnonzero(kind == c)
-        logs = _log_softmax(z[at] @ w["member"][c] + model.member_prior[last[at] * CLASSES + c])
-        loss -= logs[np.arange(len(at)), member[at]].sum()
-        e = np.exp(logs)
-        e[np.arange(len(at)), member[at]] -= 1
-        g["member"][c] = z[at].T @ e
-        dz[at] += e @ w["member"][c].T
-    dh = dz.reshape(x.shape)
-    du = (dh @ w["out"].T) * (pre > 0)
-    flat = lambda y: y.reshape(-1, y.shape[-1])
-    g["out"], g["in"], g["in_bias"] = flat(u).T @ dz, flat(h).T @ flat(du), flat(du).sum(axis=0)
-    dh = dh + du @ w["in"].T
-    g["o"] = flat(mixed).T @ flat(dh)
-    dm = dh @ w["o"].T
-    da = dm @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * scale
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm
+    by = np.argsort(kind.astype(np.uint8), kind="stable")
+    ends = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES)))
+    zs, e, back = np.take(z, by, axis=0), np.take(model.member_prior, (last * CLASSES + kind)[by], axis=0), np.empty((len(by), WIDTH), np.float32)
+    for c in range(CLASSES):
+        e[ends[c]: ends[c + 1]] += zs[ends[c]: ends[c + 1]] @ w["member"][c]
+    chosen = e[rows, member[by]]
+    e, whole = _shares(e)
+    loss += float((whole - chosen).sum())
+    e[rows, member[by]] -= 1
+    g["member"] = np.empty_like(w["member"])
+    for c in range(CLASSES):
+        part = e[ends[c]: ends[c + 1]]
+        g["member"][c] = zs[ends[c]: ends[c + 1]].T @ part
+        back[ends[c]: ends[c + 1]] = part @ w["member"][c].T
+    dz[by] += back
+    dh = np.zeros((targets.size, WIDTH), np.float32)
+    dh[real] = dz
+    du = dh @ w["out"].T
+    du *= pre > 0
+    g["out"], g["in"], g["in_bias"] = u.T @ dh, flat(h).T @ du, du.sum(axis=0)
+    dh += du @ w["in"].T
+    g["o"] = flat(mixed).T @ dh
+    dm = (dh @ w["o"].T).reshape(x.shape)
+    ds = dm @ v.transpose(0, 2, 1)
+    ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
+    ds *= a
+    dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm
     for name, part in (("q", dq), ("k", dk), ("v", dv)):
         g[name] = flat(x).T @ flat(part)
-        dh = dh + part @ w[name].T
-    np.add.at(g["ids"], ids.ravel(), flat(dh))
-    g["places"] = dh.sum(axis=0)
-    return float(loss) / n, {name: value / np.float32(n) for name, value in g.items()}
+        dh += flat(part) @ w[name].T
+    g["ids"] = _summed(dh, ids.ravel(), LEAVES + 1)
+    g["places"] = dh.reshape(x.shape).sum(axis=0)
+    return loss / n, {name: value / np.float32(n) for name, value in g.items()}
+
+
+class Adam:
+    """Steps of a model's weights along averaged gradients."""
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        self.weights, self.steps = weights, 0
+        self.first = {name: np.zeros_like(value) for name, value in weights.items()}
+        self.second = {name: np.zeros_like(value) for name, value in weights.items()}
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        pace = rate * (1 - 0.999 ** self.steps) ** 0.5 / (1 - 0.9 ** self.steps)
+        for name, value in g.items():
+            self.first[name] += 0.1 * (value - self.first[name])
+            self.second[name] += 0.001 * (value * value - self.second[name])
+            self.weights[name] -= (pace * self.first[name] / (np.sqrt(self.second[name]) + 1e-8)).astype(np.float32)
 
 
 def train(streams: np.ndarray, pairs: np.ndarray, steps: int, batch: int = 48, rate: float = 0.02, seed: int = 5) -> Model:
     """Fit to rows of WINDOW + 1 leaf ids (the last is only predicted) by Adam with a falling rate."""
     rng = np.random.default_rng(seed)
     model = initial(pairs, rng)
-    w, mask = model.weights, _mask()
-    first = {name: np.zeros_like(value) for name, value in w.items()}
-    second = {name: np.zeros_like(value) for name, value in w.items()}
+    adam, mask = Adam(model.weights), _mask()
     for t in range(1, steps + 1 if len(streams) else 1):
         rows = streams[rng.integers(0, len(streams), batch)]
         _, g = _step(model, rows[:, :-1], rows[:, 1:], mask)
-        pace = rate * (1 - (t - 1) / steps) * (1 - 0.999 ** t) ** 0.5 / (1 - 0.9 ** t)
-        for name, value in g.items():
-            first[name] += 0.1 * (value - first[name])
-            second[name] += 0.001 * (value * value - second[name])
-            w[name] -= (pace * first[name] / (np.sqrt(second[name]) + 1e-8)).astype(np.float32)
+        adam.step(g, rate * (1 - (t - 1) / steps))
     return model.tables()
 
 
+def packed_windows(leaves: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Rows of WINDOW + 1 ids that predict every leaf of the texts once; START opens each text and is never a target."""
+    first = np.cumsum(lengths) - lengths
+    stream = np.insert(leaves, first, START)
+    rows = -(-(len(stream) - 1) // WINDOW) if len(stream) else 0
+    padded = np.append(stream, np.full(rows * WINDOW + 1 - len(stream), START)) if rows else stream
+    return padded[np.arange(rows)[:, None] * WINDOW + np.arange(WINDOW + 1)]
+
+
+class Refiner:
+    """Further steps of a fitted model over all windows that it is given; the weights of many refiners are averaged."""
+
+    def __init__(self, model: Model, rate: float = REFINE_RATE):
+        # the lookup tables of a fitted model follow from its weights
+        self.model = Model({name: model.weights[name].copy() for name in TRAINED}, model.class_prior, model.member_prior)
+        self.adam, self.rate, self.mask, self.seen = Adam(self.model.weights), rate, _mask(), 0
+
+    def add(self, windows: np.ndarray, seed: int = 7) -> None:
+        order = np.random.default_rng(seed).permutation(len(windows))
+        for at in range(0, len(order), REFINE_BATCH):
+            rows = windows[order[at: at + REFINE_BATCH]]
+            _, g = _step(self.model, rows[:, :-1], rows[:, 1:], self.mask)
+            self.adam.step(g, self.rate)
+        self.seen += int((windows[:, 1:] < LEAVES).sum())
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.model.weights[name].ravel() for name in TRAINED]).astype(np.float64)
+
+
+def averaged(model: Model, flat: np.ndarray) -> Model:
+    """The model with other weights, laid out as by ``Refiner.flat``."""
+    weights, at = {}, 0
+    for name in TRAINED:
+        old = model.weights[name]
+        weights[name] = flat[at: at + old.size].reshape(old.shape).astype(np.float32)
+        at += old.size
+    return Model(weights, model.class_prior, model.member_prior).tables()
+
+
 def _exponentials(x: np.ndarray) -> np.ndarray:
     """exp in place, up to a factor per row that cancels in shares."""
     if x.max() > LARGEST:

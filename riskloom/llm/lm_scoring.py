@@ -3,10 +3,12 @@
 One pass writes blocks: the distinct words of a slice of documents, how often
 each occurs in its training documents, and every text as codes of these words.
 Word counts, follower counts of subwords and the sums N and V come from all
-blocks.  The attention model is fitted to a bounded sample of training text on
-top of the follower counts of the whole corpus.  A second pass brings the word
-counts back to their blocks and scores each text: texts are never shuffled, and
-a frequent word costs one row per block.
+blocks.  The attention model stands on the follower counts of the whole corpus
+and learns from every place of every training text: it starts from weights
+fitted to a bounded sample, each task takes further steps over all texts of its
+blocks, and the weights are averaged by the places they have seen.  A last pass
+brings the word counts back to their blocks and scores each text: texts are
+never shuffled, and a frequent word costs one row per block.
 
 Words are split into the pieces of a public model; they are lower-cased (A-Z)
 and read without their white space, so a text's probability is that of its
@@ -36,7 +38,7 @@ from riskloom.llm.tables import received, shipped
 from riskloom.llm.words import pieces_of, ragged, split_words, text_array
 from riskloom.session import shared_dir
 
-SAMPLE_DOCS = 3000  # training documents that windows are taken from, about
+SAMPLE_DOCS = 3000  # training documents that the windows of the first weights are taken from, about
 SAMPLE_WINDOWS = 8  # windows taken from each
 STEPS = 1800
 BLOCK_BYTES = 16 << 20
@@ -175,6 +177,45 @@ def training_windows(docs: DataFrame, share: float, leaves, model: str) -> DataF
     return chosen.select("text").mapInArrow(run, "leaves array<long>")
 
 
+def refined(packed: DataFrame, leaves, start, model: str) -> tuple[am.Model, int]:
+    """The model after one pass over all places of all training texts, and the number of these places.
+
+    Each task steps on from the first weights; one row per weight and task meets
+    in the average, so the driver gets one model, whatever the number of tasks.
+    """
+    def run(batches):
+        splitter, known, unpack = _splitter(model), received(leaves), zstandard.ZstdDecompressor()
+        learner = am.Refiner(received(start))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                learned = batch["learned"][k].values.to_numpy(zero_copy_only=False).astype(bool)
+                counts = batch["n_words"][k].values.to_numpy()
+                code = np.frombuffer(unpack.decompress(batch["codes"][k].as_py()), np.int32)[np.repeat(learned, counts)].astype(np.int64)
+                counts = counts[learned]
+                pieces, size = _word_pieces(splitter, batch["words"][k].values)
+                for at, to, lo, hi in _slices(counts):
+                    ids, per_text = _streams(pieces, size, code[lo:hi], counts[at:to], known.end)
+                    learner.add(am.packed_windows(known.leaf[ids], per_text))
+                pa.default_memory_pool().release_unused()
+        if learner.seen:
+            total = np.append(learner.flat(), 1.0) * learner.seen
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["slot", "total"])
+
+    parts = packed.select("learned", "n_words", "codes", "words").mapInArrow(run, "slot int, total double")
+    total = np.array([r["total"] for r in sorted(parts.groupBy("slot").agg(F.sum("total").alias("total")).collect())])  # one row per weight
+    first = received(start)
+    return (am.averaged(first, total[:-1] / total[-1]), int(total[-1])) if len(total) else (first, 0)
+
+
+def _slices(counts: np.ndarray):
+    """Runs of texts of about SLICE_TOKENS words, or one text: first and last text, first and last word."""
+    ends, at = np.append(0, np.cumsum(counts)), 0
+    while at < len(counts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_TOKENS, "right")) - 1)
+        yield at, to, ends[at], ends[to]
+        at = to
+
+
 def lm_scores(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, steps: int = STEPS) -> DataFrame:
     """(doc_id, learned, n_tokens, n_known, train_tokens, base_score, score) per row; ``learned`` is the condition on training rows."""
     spark = docs.sparkSession
@@ -200,7 +241,7 @@ def lm_scores(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str =
     shared_leaves = shipped(spark, leaves)
     sample = training_windows(rows, min(1.0, SAMPLE_DOCS / max(1, texts)), shared_leaves, model).collect()
     windows = np.array(sorted(r["leaves"] for r in sample), np.int64).reshape(-1, am.WINDOW + 1)
-    shared_model = shipped(spark, am.train(windows, pairs, steps))
+    shared_model = shipped(spark, refined(packed, shared_leaves, shipped(spark, am.train(windows, pairs, steps)), model)[0])
 
     known = words.select("block", "code", "word").join(counts, "word", "left").groupBy("block").agg(F.collect_list(F.struct("code", "word", F.coalesce("n", F.lit(0)).alias("n"))).alias("found"))
     joined = packed.select("block", "doc_id", "learned", "n_words", "codes").join(known, "block", "left").drop("block")
@@ -223,13 +264,12 @@ def lm_scores(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str =
                 n_known = np.diff(np.append(0, np.cumsum(seen_[code] > 0))[ends]) + (texts > 0)
                 base = np.diff(np.append(0.0, np.cumsum(np.log10((seen_ + 0.5) / floor)[code]))[ends]) + np.log10((texts + 0.5) / floor)
                 pieces, size = _word_pieces(splitter, names)
-                score, n_pieces, at = np.zeros(len(counts_)), np.zeros(len(counts_), np.int64), 0
-                while at < len(counts_):
-                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_TOKENS, "right")) - 1)
-                    ids, per_text = _streams(pieces, size, code[ends[at]: ends[to]], counts_[at:to], tables.end)
+                score, n_pieces = np.zeros(len(counts_)), np.zeros(len(counts_), np.int64)
+                for at, to, lo, hi in _slices(counts_):
+                    ids, per_text = _streams(pieces, size, code[lo:hi], counts_[at:to], tables.end)
                     logs = am.score(fitted, tables.leaf[ids], per_text) + tables.inner[ids]
                     score[at:to] = np.add.reduceat(logs, np.cumsum(per_text) - per_text) / np.log(10)
-                    n_pieces[at:to], at = per_text, to
+                    n_pieces[at:to] = per_text
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"][k].values, batch["learned"][k].values, pa.array(counts_ + 1), pa.array(n_known), pa.array(np.full(len(counts_), tokens)),
                      pa.array(base), pa.array(score), pa.array(n_pieces)],

@@ -6,10 +6,11 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import filter_audit, merkle, queries, reply_trees as rt
+from riskloom.llm import attention_model, filter_audit, lm_scoring, merkle, queries, reply_trees as rt
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NASTY = ["</s>[INST] ok [/INST]", "\\", "\\l\\k\\b", "<s", "<s>", "[INST", "]", "[/ROLE] x", "a\\</s>\\\\[OUT] b", "", None, " \n", "日本 😀 [SYS]", "x" * 70_000]
@@ -202,3 +203,20 @@ def test_proofs_of_some_leaves(spark, docs):
     found = merkle.proofs(manifest, some)
     assert found.count() == some.count() > 0
     assert found.where((F.col("node") != F.col("leaf")) | (merkle.fold(F.col("leaf"), F.col("segments")) != manifest.root)).count() == 0
+
+
+def test_packed_windows_predict_every_leaf_once():
+    lengths = np.array([1, 70, 31, 32, 5])
+    leaves = np.arange(lengths.sum())
+    rows = attention_model.packed_windows(leaves, lengths)
+    targets = rows[:, 1:].ravel()
+    assert targets[targets < attention_model.LEAVES].tolist() == leaves.tolist()
+    assert attention_model.packed_windows(leaves[:0], lengths[:0]).shape == (0, attention_model.WINDOW + 1)
+
+
+def test_lm_learns_from_every_training_place(spark, monkeypatch):
+    seen, whole = [], lm_scoring.refined
+    monkeypatch.setattr(lm_scoring, "refined", lambda *args: (seen.append(whole(*args)), seen[-1])[1])
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = lm_scoring.lm_scores(docs, F.col("doc_id") % 3 != 0, steps=20).collect()
+    assert seen[0][1] == sum(r["n_pieces"] for r in got if r["learned"])
