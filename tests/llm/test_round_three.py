@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import attention_model, filter_audit, lm_scoring, merkle, queries, reply_trees as rt
+from riskloom.llm import attention_model, filter_audit, lm_scoring, merkle, near_copies, queries, reply_trees as rt
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NASTY = ["</s>[INST] ok [/INST]", "\\", "\\l\\k\\b", "<s", "<s>", "[INST", "]", "[/ROLE] x", "a\\</s>\\\\[OUT] b", "", None, " \n", "日本 😀 [SYS]", "x" * 70_000]
@@ -220,3 +220,25 @@ def test_lm_learns_from_every_training_place(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = lm_scoring.lm_scores(docs, F.col("doc_id") % 3 != 0, steps=20).collect()
     assert seen[0][1] == sum(r["n_pieces"] for r in got if r["learned"])
+
+
+def test_near_copies_without_centres_keep_every_link(spark, monkeypatch):
+    """With no round of stars at all, the last pass alone finds what all pairs find, over many parts of a bucket."""
+    monkeypatch.setattr(near_copies, "ROUNDS", 0)
+    monkeypatch.setattr(near_copies, "REST_ROWS", 16)
+    rng = random.Random(11)
+    words = [f"w{n}" for n in range(220)]
+    rows = []
+    for n in range(120):
+        copy = list(words)
+        for _ in range(rng.choice((2, 6, 10, 14))):
+            copy[rng.randrange(len(words))] = f"x{rng.randrange(9999)}"
+        rows.append((n, " ".join(copy)))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    root = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    got = near_copies.near_copy_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert 1 < len(set(root)) < len(rows) and sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
