@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,20 @@ def test_cut_of_high_frequencies(spark):
         cut = sorted(values, reverse=True)[size - 1]
         assert tfidf._cut(kept, size) == (cut, sum(v > cut for v in values))
     assert tfidf._cut(kept, len(values)) == (0, 0)
+
+
+def test_tfidf_works_on_slices(spark, monkeypatch):
+    """A batch is cut: no call sees more than the slice, and the weights are those of whole batches."""
+    rows = [(n, " ".join(f"w{(n * k) % 41}" for k in range(1, 60))) for n in range(90)] + [(90, None), (91, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = sorted(map(tuple, tfidf.tfidf(df, "doc_id").collect()))
+    texts = pa.array([t for _, t in rows])
+    monkeypatch.setattr(tfidf, "SLICE_BYTES", 500)
+    parts = list(tfidf._count(iter([texts])))
+    assert len(parts) > 30 and sum(map(len, parts)) == len(rows)
+    monkeypatch.setattr(tfidf, "TERM_BYTES", 700)
+    seen = []
+    cut = list(tfidf._by_slices(lambda terms, tf: seen.append(len(terms)) or terms)(iter([(p.field(0), p.field(1)) for p in [pa.concat_arrays(parts)]])))
+    assert len(seen) > 30 and sum(seen) == len(rows) == sum(map(len, cut))
+    sliced = sorted(map(tuple, tfidf.tfidf(df, "doc_id").collect()))
+    assert [r[:2] for r in sliced] == [r[:2] for r in whole] and [r[2] for r in sliced] == pytest.approx([r[2] for r in whole])
