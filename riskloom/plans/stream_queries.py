@@ -21,12 +21,26 @@ _POLLED = "source_id IN (SELECT source_id FROM sources WHERE is_active)"
 ITEM_COLUMNS = ["source_id", "source_type", "external_id", "title", "text", "threat_score", "collected_at"]
 
 
-def land(df: DataFrame, folder: str, files: int = 4, twice: bool = False) -> None:
-    """Write a landing folder of several files; with ``twice`` everything is delivered a second time."""
-    spread = df.repartition(files)
-    spread.write.mode("append").parquet(folder)
-    if twice:
-        spread.write.mode("append").parquet(folder)
+def land(df: DataFrame, folder: str, files: int = 4, twice: bool = False) -> tuple[str, int]:
+    """The landing folder of several files that was written, and their number; with ``twice`` everything is delivered a second time.
+
+    The rows are computed once and written as they are partitioned, so a file, and
+    the task that reads it, does not grow with the table.  Only a table of fewer
+    files than asked for is dealt anew.
+    """
+    df.write.mode("append").parquet(folder)
+    rows = df.sparkSession.read.schema(df.schema).parquet(folder)
+    deliveries = 1
+    if len(rows.inputFiles()) < files:
+        folder, rows, deliveries = f"{folder}-spread", rows.repartition(files), 0
+    for _ in range(deliveries, 1 + twice):
+        rows.write.mode("append").parquet(folder)
+    return folder, len(df.sparkSession.read.schema(df.schema).parquet(folder).inputFiles())
+
+
+def _batch(files: int) -> int:
+    """Files of a batch when a landing folder is drained in three."""
+    return -(-files * 3 // 8)
 
 
 def _items(lake: Lake) -> DataFrame:
@@ -41,9 +55,9 @@ def _rescored(fresh: DataFrame) -> DataFrame:
 def _collect(lake: Lake) -> c.Collector:
     base = shared_dir(lake.spark, "collector")
     items = _items(lake)
-    land(items, f"{base}/landing", twice=True)
+    landing, files = land(items, f"{base}/landing", twice=True)
     job = c.Collector(lake.spark, f"{base}/stores", lake.sources(), _rescored)
-    stream = c.landed(lake.spark, f"{base}/landing", items.schema, files_per_batch=3)
+    stream = c.landed(lake.spark, landing, items.schema, files_per_batch=_batch(files))
     c.run_to_end(job.run(stream, f"{base}/checkpoint"))
     return job
 
@@ -74,8 +88,8 @@ def poll_log(lake: Lake):
 def stream_dedup(lake: Lake):
     base = shared_dir(lake.spark, "dedup")
     items = _items(lake)
-    land(items, f"{base}/landing", twice=True)
-    stream = c.landed(lake.spark, f"{base}/landing", items.schema, files_per_batch=3)
+    landing, files = land(items, f"{base}/landing", twice=True)
+    stream = c.landed(lake.spark, landing, items.schema, files_per_batch=_batch(files))
     c.run_to_end(c.to_folder(c.deduplicated(stream), f"{base}/out", f"{base}/checkpoint"))
     return lake.spark.read.parquet(f"{base}/out").select("source_id", "source_type", "external_id", "collected_at")
 
@@ -84,8 +98,8 @@ def stream_dedup(lake: Lake):
 def owner_alert_routes(lake: Lake):
     base = shared_dir(lake.spark, "routes")
     alerts = lake.alerts().select("alert_id", "owner_id", "title", "threat_score", "threat_level")
-    land(alerts, f"{base}/landing")
-    stream = c.landed(lake.spark, f"{base}/landing", alerts.schema)
+    landing, _ = land(alerts, f"{base}/landing")
+    stream = c.landed(lake.spark, landing, alerts.schema)
     c.run_to_end(c.to_folder(stream, f"{base}/out", f"{base}/checkpoint", by=["owner_id"]))
     return lake.spark.read.schema(alerts.schema).parquet(f"{base}/out").groupBy("owner_id").agg(F.count("*").alias("n"), F.max("threat_score").alias("top_score"))
 

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.plans import stream_queries as sq
 from riskloom.functions.scores import level_of
 from riskloom.operators import metrics
 from riskloom.streaming import collector as c
@@ -211,3 +212,14 @@ def test_tiers_merge_and_repeat(spark, tmp_path):
     assert store.segments() == [(3, 0)] and {r["k"]: r["n"] for r in store.read().collect()} == expected
     with pytest.raises(ValueError):
         TieredStore(spark, str(tmp_path), ["k"], schema, fanout=1)
+
+
+def test_landing_files_follow_the_table(spark, tmp_path):
+    """Large tables keep their files instead of being dealt to four; small ones are dealt; all rows come as often as asked."""
+    wide, small = spark.range(0, 1000, 1, 12), spark.range(0, 10, 1, 1)
+    folder, files = sq.land(wide, f"{tmp_path}/wide")
+    assert files == 12 and sorted(r["id"] for r in spark.read.parquet(folder).collect()) == list(range(1000))
+    for table, rows in ((wide, 1000), (small, 10)):
+        folder, files = sq.land(table, f"{tmp_path}/twice-{rows}", twice=True)
+        assert files >= 8 or rows == 1000
+        assert sorted(r["id"] for r in spark.read.parquet(folder).collect()) == sorted(2 * list(range(rows)))
