@@ -242,3 +242,19 @@ def test_near_copies_without_centres_keep_every_link(spark, monkeypatch):
             root = [low if r == high else r for r in root]
     got = near_copies.near_copy_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert 1 < len(set(root)) < len(rows) and sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
+
+
+@pytest.mark.parametrize("hi", [0, 1])
+def test_last_pass_returns_fewer_links_than_members(hi):
+    """Two parts of a bucket return the links that join their groups, not all their pairs, and none that falls short of the similarity."""
+    import pyarrow as pa
+
+    close = [sorted({*range(100)} - {n}) for n in range(30)]  # 98 of 100 shared: all pairs are links
+    apart = [sorted({*range(1000, 1070)} | {*range(2000 + 30 * n, 2030 + 30 * n)}) for n in range(30)]  # 70 of 130 shared: none is
+    sets = close + apart
+    n = len(sets)
+    members = pa.table({
+        "node": pa.array(range(n), pa.int64()), "grp": pa.array(range(n), pa.int64()), "tile": pa.array([k % 2 * hi for k in range(n)], pa.int64()),
+        "lo": pa.array([0] * n, pa.int64()), "hi": pa.array([hi] * n, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+    a, b = near_copies._links_of(members)
+    assert len(a) == len(close) - 1 and (a < b).all() and {*a.tolist(), *b.tolist()} == set(range(len(close)))
