@@ -211,3 +211,12 @@ def test_tfidf_works_on_slices(spark, monkeypatch):
     assert len(seen) > 30 and sum(seen) == len(rows) == sum(map(len, cut))
     sliced = sorted(map(tuple, tfidf.tfidf(df, "doc_id").collect()))
     assert [r[:2] for r in sliced] == [r[:2] for r in whole] and [r[2] for r in sliced] == pytest.approx([r[2] for r in whole])
+
+
+def test_plain_pieces_fold_one_by_one_only_beyond_ascii(monkeypatch):
+    """ASCII pieces are lowered in one call; others follow Python's rules and the accent table, in their places."""
+    pieces = ["Red", "Rèd", "", "STRASSE", "İx", "Straße", "ÀB", "日本", "m_1", "café"]
+    want = [p.lower().translate(tfidf.ACCENT_MAP) for p in pieces]
+    assert tfidf._plain(pa.array(pieces)).to_pylist() == want and len(tfidf._plain(pa.array([], pa.string()))) == 0
+    monkeypatch.setattr(tfidf, "ACCENT_MAP", {ord("e"): "?"})
+    assert tfidf._plain(pa.array(["Red", "Rède"])).to_pylist() == ["red", "rèd?"]
