@@ -71,14 +71,42 @@ def initial(pairs: np.ndarray, rng: np.random.Generator) -> Model:
     }, *follower_priors(pairs))
 
 
+def _wide(x: np.ndarray) -> bool:
+    """Whether exponents are too far from zero to do without a shift."""
+    return max(x.max(initial=0), -x.min(initial=0)) > LARGEST
+
+
 def _shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of each row in place, and the log of their common divisor."""
-    top = x.max(axis=-1, keepdims=True)
-    x -= top
+    top = x.max(axis=-1, keepdims=True) if _wide(x) else None
+    if top is not None:
+        x -= top
     np.exp(x, out=x)
     whole = x @ np.ones((x.shape[-1], 1), np.float32)
     x /= whole
-    return x, (np.log(whole) + top)[..., 0]
+    log = np.log(whole)
+    return x, (log if top is None else log + top)[..., 0]
+
+
+def _exponentials(x: np.ndarray, wide: bool) -> np.ndarray:
+    """exp in place, up to a factor per row that cancels in shares."""
+    if wide:
+        x -= x.max(axis=-1, keepdims=True)
+    return np.exp(x, out=x)
+
+
+def _total(rows: np.ndarray) -> np.ndarray:
+    """Sum of all rows."""
+    return np.ones(len(rows), np.float32) @ rows
+
+
+def _hidden(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Hidden units of states, 8 rows at a time, since numpy is slow on short rows and on single numbers."""
+    u = h @ w["in"]
+    wide = u.reshape(-1, 8 * HIDDEN)  # a window has a multiple of 8 places
+    wide += np.tile(w["in_bias"], 8)
+    np.maximum(wide, np.zeros(8 * HIDDEN, np.float32), out=wide)
+    return u
 
 
 def _summed(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -92,64 +120,85 @@ def _summed(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 
 def _step(model: Model, ids: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of the places of windows whose target is a leaf, and its gradient."""
+    """Mean loss of the places of windows whose target is a leaf, and its gradient.
+
+    Places are sorted by the class of their target.  Attention is kept without
+    its divisor, which goes to the WIDTH numbers of a place instead of its
+    shares, and values are mixed as they go into the state (v and o in one).
+    """
     w, scale = model.weights, np.float32(WIDTH ** -0.5)
-    real = np.flatnonzero((targets < LEAVES).ravel())
-    last, target = ids.ravel()[real], targets.ravel()[real]
-    n = max(1, len(real))
-    x = np.take(w["ids"], ids, axis=0) + w["places"]
-    q, k, v = x @ w["q"] * scale, x @ w["k"], x @ w["v"]
+    target = targets.ravel()
+    kind = target // MEMBERS  # START has a class of its own behind the others
+    by = np.argsort(kind.astype(np.uint8), kind="stable")
+    ends = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES)[:CLASSES]))
+    by = by[: ends[-1]]
+    n, kind, last = max(1, len(by)), kind[by], ids.ravel()[by]
+    cell = np.arange(len(by)) * MEMBERS
+    x = np.take(w["ids"], ids, axis=0)
+    x += w["places"]
+    flat = x.reshape(-1, WIDTH)
+    inner = np.concatenate([w["q"] * scale, w["k"], w["v"] @ w["o"]], axis=1)
+    qkv = (flat @ inner).reshape(*ids.shape, 3 * WIDTH)
+    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH: 2 * WIDTH], qkv[..., 2 * WIDTH:]
     a = q @ k.transpose(0, 2, 1)
+    wide = _wide(a)
     a += mask
-    a, _ = _shares(a)
+    a = _exponentials(a, wide)
+    whole = a @ np.ones((WINDOW, 1), np.float32)
     mixed = a @ v
-    h = x + mixed @ w["o"]
-    flat = lambda y: y.reshape(-1, y.shape[-1])
-    pre = flat(h) @ w["in"] + w["in_bias"]
-    u = np.maximum(pre, 0)
-    z = np.take(flat(h) + u @ w["out"], real, axis=0)
-    kind, member = target // MEMBERS, target % MEMBERS
-    g, rows = {}, np.arange(len(real))
+    mixed /= whole
+    mixed = mixed.reshape(-1, WIDTH)
+    h = flat + mixed
+    u = _hidden(w, h)
+    z = u @ w["out"]
+    z += h
+    z = np.take(z, by, axis=0)
+    g = {}
     d = z @ w["class"]
     d += np.take(model.class_prior, last, axis=0)
-    chosen = d[rows, kind]
-    d, whole = _shares(d)
-    loss = float((whole - chosen).sum())
-    d[rows, kind] -= 1
+    chosen = np.take(d, cell + kind)
+    d, total = _shares(d)
+    loss = float((total - chosen).sum())
+    d.ravel()[cell + kind] -= 1
     g["class"] = z.T @ d
     dz = d @ w["class"].T
-    by = np.argsort(kind.astype(np.uint8), kind="stable")
-    ends = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES)))
-    zs, e, back = np.take(z, by, axis=0), np.take(model.member_prior, (last * CLASSES + kind)[by], axis=0), np.empty((len(by), WIDTH), np.float32)
+    e = np.empty((len(by), MEMBERS), np.float32)
     for c in range(CLASSES):
-        e[ends[c]: ends[c + 1]] += zs[ends[c]: ends[c + 1]] @ w["member"][c]
-    chosen = e[rows, member[by]]
-    e, whole = _shares(e)
-    loss += float((whole - chosen).sum())
-    e[rows, member[by]] -= 1
+        np.matmul(z[ends[c]: ends[c + 1]], w["member"][c], out=e[ends[c]: ends[c + 1]])
+    e += np.take(model.member_prior, last * CLASSES + kind, axis=0)
+    member = cell + target[by] % MEMBERS
+    chosen = np.take(e, member)
+    e, total = _shares(e)
+    loss += float((total - chosen).sum())
+    e.ravel()[member] -= 1
     g["member"] = np.empty_like(w["member"])
     for c in range(CLASSES):
         part = e[ends[c]: ends[c + 1]]
-        g["member"][c] = zs[ends[c]: ends[c + 1]].T @ part
-        back[ends[c]: ends[c + 1]] = part @ w["member"][c].T
-    dz[by] += back
-    dh = np.zeros((targets.size, WIDTH), np.float32)
-    dh[real] = dz
+        np.matmul(z[ends[c]: ends[c + 1]].T, part, out=g["member"][c])
+        dz[ends[c]: ends[c + 1]] += part @ w["member"][c].T
+    dh = np.zeros((target.size, WIDTH), np.float32)
+    dh[by] = dz
     du = dh @ w["out"].T
-    du *= pre > 0
-    g["out"], g["in"], g["in_bias"] = u.T @ dh, flat(h).T @ du, du.sum(axis=0)
+    du *= u > 0
+    g["out"], g["in"], g["in_bias"] = u.T @ dh, h.T @ du, _total(du)
     dh += du @ w["in"].T
-    g["o"] = flat(mixed).T @ dh
-    dm = (dh @ w["o"].T).reshape(x.shape)
+    dm = dh / whole.reshape(-1, 1)
+    same = np.einsum("ij,ij->i", dm, mixed)
+    dm = dm.reshape(x.shape)
     ds = dm @ v.transpose(0, 2, 1)
-    ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
+    ds -= same.reshape(*ids.shape, 1)
     ds *= a
-    dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm
-    for name, part in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = flat(x).T @ flat(part)
-        dh += flat(part) @ w[name].T
+    dqkv = np.empty_like(qkv)
+    np.matmul(ds, k, out=dqkv[..., :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH: 2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), dm, out=dqkv[..., 2 * WIDTH:])
+    dqkv = dqkv.reshape(-1, 3 * WIDTH)
+    dh += dqkv @ inner.T
+    inner = flat.T @ dqkv
+    g["q"], g["k"] = inner[:, :WIDTH] * scale, inner[:, WIDTH: 2 * WIDTH]
+    g["v"], g["o"] = inner[:, 2 * WIDTH:] @ w["o"].T, w["v"].T @ inner[:, 2 * WIDTH:]
     g["ids"] = _summed(dh, ids.ravel(), LEAVES + 1)
-    g["places"] = dh.reshape(x.shape).sum(axis=0)
+    g["places"] = _total(dh.reshape(len(ids), -1)).reshape(WINDOW, WIDTH)
     return loss / n, {name: value / np.float32(n) for name, value in g.items()}
 
 
@@ -221,13 +270,6 @@ def averaged(model: Model, flat: np.ndarray) -> Model:
     return Model(weights, model.class_prior, model.member_prior).tables()
 
 
-def _exponentials(x: np.ndarray) -> np.ndarray:
-    """exp in place, up to a factor per row that cancels in shares."""
-    if x.max() > LARGEST:
-        x -= x.max(axis=-1, keepdims=True)
-    return np.exp(x, out=x)
-
-
 def _states(w: dict[str, np.ndarray], ids: np.ndarray, opening: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Output states of the scored places of windows; ``opening`` marks those without earlier context."""
     def of(name: str, places: slice) -> np.ndarray:
@@ -237,22 +279,22 @@ def _states(w: dict[str, np.ndarray], ids: np.ndarray, opening: np.ndarray, mask
 
     all_, scored = slice(0, WINDOW), slice(CONTEXT, WINDOW)
     a = of("query", scored) @ of("key", all_).transpose(0, 2, 1)
+    wide = _wide(a)
     a += mask[CONTEXT:]
     a[opening, :, :CONTEXT] = HIDE
-    a = _exponentials(a)
+    a = _exponentials(a, wide)
     mixed = a @ of("value", all_)
     mixed /= a @ np.ones((WINDOW, 1), np.float32)
     mixed += of("x", scored)
     h = mixed.reshape(-1, WIDTH)
-    u = h @ w["in"]
-    u += w["in_bias"]
-    np.maximum(u, 0, out=u)
-    return h + u @ w["out"]
+    u = _hidden(w, h) @ w["out"]
+    u += h
+    return u
 
 
 def _picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log probability of one entry of each row."""
-    if logits.max(initial=0) > LARGEST:
+    if _wide(logits):
         logits -= logits.max(axis=1, keepdims=True)
     chosen = np.take(logits, np.arange(len(at)) * logits.shape[1] + at)
     np.exp(logits, out=logits)

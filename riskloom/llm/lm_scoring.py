@@ -1,7 +1,8 @@
 """Language-model scores of whole texts by a causal self-attention model over subword ids.
 
-One pass writes blocks: the distinct words of a slice of documents, how often
-each occurs in its training documents, and every text as codes of these words.
+One pass writes blocks: the distinct words of a slice of documents with their
+pieces, how often each occurs in its training documents, and every text as codes
+of these words.
 Word counts, follower counts of subwords and the sums N and V come from all
 blocks.  The attention model stands on the follower counts of the whole corpus
 and learns from every place of every training text: it starts from weights
@@ -63,31 +64,37 @@ def _word_pieces(splitter, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(pieces), np.concatenate(sizes)
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """One row per slice of the rows (doc_id, learned, text): words and their training counts, and the texts as word codes."""
+def blocks(docs: DataFrame, model: str) -> DataFrame:
+    """One row per slice of the rows (doc_id, learned, text): words, their pieces and training counts, and the texts as word codes."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        packer = zstandard.ZstdCompressor(level=1)
+        splitter, packer = _splitter(model), zstandard.ZstdCompressor(level=1)
         for batch in pieces_of(batches, "text", BLOCK_BYTES):
             words, counts = split_words(text_array(batch["text"]), lower=True)
             coded = words.dictionary_encode()
             code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
             learned = np.repeat(batch["learned"].to_numpy(zero_copy_only=False), counts)
             seen = np.bincount(code[learned], minlength=len(coded.dictionary))
+            pieces, size = (packer.compress(x.astype(np.int32).tobytes()) for x in _word_pieces(splitter, coded.dictionary))
             one = {
                 "block": [secrets.randbits(63)], "doc_id": [batch["doc_id"]], "learned": [batch["learned"]], "n_words": [counts],
-                "codes": [packer.compress(code.tobytes())], "words": [coded.dictionary], "n": [seen]}
+                "codes": [packer.compress(code.tobytes())], "pieces": [pieces], "sizes": [size], "words": [coded.dictionary], "n": [seen]}
             schema = pa.schema([
                 ("block", pa.int64()), ("doc_id", pa.list_(batch["doc_id"].type)), ("learned", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())),
-                ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+                ("codes", pa.binary()), ("pieces", pa.binary()), ("sizes", pa.binary()), ("words", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
             columns = [
                 pa.ListArray.from_arrays(pa.array([0, len(v[0])], pa.int32()), pa.array(v[0], f.type.value_type)) if pa.types.is_list(f.type) else pa.array(v, f.type)
                 for f, v in zip(schema, one.values())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
             pa.default_memory_pool().release_unused()  # workers are kept between stages
 
-    return docs.mapInArrow(run, f"block long, doc_id array<{key}>, learned array<boolean>, n_words array<long>, codes binary, words array<string>, n array<long>")
+    return docs.mapInArrow(run, f"block long, doc_id array<{key}>, learned array<boolean>, n_words array<long>, codes binary, pieces binary, sizes binary, words array<string>, n array<long>")
+
+
+def _unpacked(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
+    """Whole numbers that a block holds compressed."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(batch[name][row].as_py()), np.int32).astype(np.int64)
 
 
 def follower_counts(counts: DataFrame, model: str) -> DataFrame:
@@ -177,22 +184,21 @@ def training_windows(docs: DataFrame, share: float, leaves, model: str) -> DataF
     return chosen.select("text").mapInArrow(run, "leaves array<long>")
 
 
-def refined(packed: DataFrame, leaves, start, model: str) -> tuple[am.Model, int]:
+def refined(packed: DataFrame, leaves, start) -> tuple[am.Model, int]:
     """The model after one pass over all places of all training texts, and the number of these places.
 
     Each task steps on from the first weights; one row per weight and task meets
     in the average, so the driver gets one model, whatever the number of tasks.
     """
     def run(batches):
-        splitter, known, unpack = _splitter(model), received(leaves), zstandard.ZstdDecompressor()
-        learner = am.Refiner(received(start))
+        known, learner = received(leaves), am.Refiner(received(start))
         for batch in batches:
             for k in range(batch.num_rows):
                 learned = batch["learned"][k].values.to_numpy(zero_copy_only=False).astype(bool)
                 counts = batch["n_words"][k].values.to_numpy()
-                code = np.frombuffer(unpack.decompress(batch["codes"][k].as_py()), np.int32)[np.repeat(learned, counts)].astype(np.int64)
+                code = _unpacked(batch, k, "codes")[np.repeat(learned, counts)]
                 counts = counts[learned]
-                pieces, size = _word_pieces(splitter, batch["words"][k].values)
+                pieces, size = _unpacked(batch, k, "pieces"), _unpacked(batch, k, "sizes")
                 for at, to, lo, hi in _slices(counts):
                     ids, per_text = _streams(pieces, size, code[lo:hi], counts[at:to], known.end)
                     learner.add(am.packed_windows(known.leaf[ids], per_text))
@@ -201,7 +207,7 @@ def refined(packed: DataFrame, leaves, start, model: str) -> tuple[am.Model, int
             total = np.append(learner.flat(), 1.0) * learner.seen
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["slot", "total"])
 
-    parts = packed.select("learned", "n_words", "codes", "words").mapInArrow(run, "slot int, total double")
+    parts = packed.select("learned", "n_words", "codes", "pieces", "sizes").mapInArrow(run, "slot int, total double")
     total = np.array([r["total"] for r in sorted(parts.groupBy("slot").agg(F.sum("total").alias("total")).collect())])  # one row per weight
     first = received(start)
     return (am.averaged(first, total[:-1] / total[-1]), int(total[-1])) if len(total) else (first, 0)
@@ -221,7 +227,7 @@ def lm_scores(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     folder = shared_dir(spark, "lm")
     rows = docs.select(F.col(id_col).alias("doc_id"), learned.alias("learned"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    blocks(rows).write.parquet(f"{folder}/blocks")
+    blocks(rows, model).write.parquet(f"{folder}/blocks")
     packed = spark.read.parquet(f"{folder}/blocks")
     words = packed.select("block", F.posexplode(F.arrays_zip("words", "n"))).select("block", F.col("pos").alias("code"), F.col("col.words").alias("word"), F.col("col.n").alias("n"))
     words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0").write.parquet(f"{folder}/counts")
@@ -241,29 +247,25 @@ def lm_scores(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str =
     shared_leaves = shipped(spark, leaves)
     sample = training_windows(rows, min(1.0, SAMPLE_DOCS / max(1, texts)), shared_leaves, model).collect()
     windows = np.array(sorted(r["leaves"] for r in sample), np.int64).reshape(-1, am.WINDOW + 1)
-    shared_model = shipped(spark, refined(packed, shared_leaves, shipped(spark, am.train(windows, pairs, steps)), model)[0])
+    shared_model = shipped(spark, refined(packed, shared_leaves, shipped(spark, am.train(windows, pairs, steps)))[0])
 
-    known = words.select("block", "code", "word").join(counts, "word", "left").groupBy("block").agg(F.collect_list(F.struct("code", "word", F.coalesce("n", F.lit(0)).alias("n"))).alias("found"))
-    joined = packed.select("block", "doc_id", "learned", "n_words", "codes").join(known, "block", "left").drop("block")
+    known = words.select("block", "code", "word").join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("code", "n")).alias("found"))
+    joined = packed.select("block", "doc_id", "learned", "n_words", "codes", "pieces", "sizes").join(known, "block", "left").drop("block")
     floor = float(tokens + 0.5 * (distinct + 1))
     key = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        splitter, unpack = _splitter(model), zstandard.ZstdDecompressor()
         tables, fitted = received(shared_leaves), received(shared_model)
         for batch in batches:
             for k in range(batch.num_rows):
                 counts_ = batch["n_words"][k].values.to_numpy()
-                code = np.frombuffer(unpack.decompress(batch["codes"][k].as_py()), np.int32).astype(np.int64)
-                found = batch["found"][k].values
-                place = found.field("code").to_numpy() if found is not None else np.zeros(0, np.int64)
-                by = np.argsort(place)
-                seen_ = found.field("n").to_numpy()[by] if found is not None else np.zeros(0, np.int64)
-                names = found.field("word").take(pa.array(by)) if found is not None else pa.array([], pa.string())
+                code, pieces, size = (_unpacked(batch, k, name) for name in ("codes", "pieces", "sizes"))
+                found, seen_ = batch["found"][k].values, np.zeros(len(size), np.int64)
+                if found is not None:  # words of the training texts
+                    seen_[found.field("code").to_numpy()] = found.field("n").to_numpy()
                 ends = np.append(0, np.cumsum(counts_))
                 n_known = np.diff(np.append(0, np.cumsum(seen_[code] > 0))[ends]) + (texts > 0)
                 base = np.diff(np.append(0.0, np.cumsum(np.log10((seen_ + 0.5) / floor)[code]))[ends]) + np.log10((texts + 0.5) / floor)
-                pieces, size = _word_pieces(splitter, names)
                 score, n_pieces = np.zeros(len(counts_)), np.zeros(len(counts_), np.int64)
                 for at, to, lo, hi in _slices(counts_):
                     ids, per_text = _streams(pieces, size, code[lo:hi], counts_[at:to], tables.end)

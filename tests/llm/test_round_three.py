@@ -258,3 +258,47 @@ def test_last_pass_returns_fewer_links_than_members(hi):
         "lo": pa.array([0] * n, pa.int64()), "hi": pa.array([hi] * n, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
     a, b = near_copies._links_of(members)
     assert len(a) == len(close) - 1 and (a < b).all() and {*a.tolist(), *b.tolist()} == set(range(len(close)))
+
+
+def test_lm_gradient_is_that_of_its_loss():
+    """Also with scores too far apart for exponents without a shift."""
+    rng = np.random.default_rng(3)
+    for far in (1.0, 400.0):
+        model = attention_model.initial(rng.integers(0, 3, (attention_model.LEAVES + 1, attention_model.LEAVES)).astype(float), rng)
+        model.weights = {name: value.astype(np.float64) for name, value in model.weights.items()}
+        model.weights["q"] *= far
+        rows = rng.integers(0, attention_model.LEAVES + 1, (4, attention_model.WINDOW + 1))
+        step = lambda: attention_model._step(model, rows[:, :-1], rows[:, 1:], attention_model._mask())  # noqa: B023, E731
+        loss, g = step()
+        assert np.isfinite(loss) and set(g) == set(attention_model.TRAINED)
+        for name in attention_model.TRAINED if far == 1 else ("o", "in", "class", "member"):
+            way = rng.normal(size=model.weights[name].shape)
+            model.weights[name] += 1e-3 * way
+            up = step()[0]
+            model.weights[name] -= 2e-3 * way
+            down = step()[0]
+            model.weights[name] += 1e-3 * way
+            assert (up - down) / 2e-3 == pytest.approx(float((g[name] * way).sum()), rel=0.02, abs=2e-3), name
+
+
+def test_lm_scores_stay_numbers_when_all_exponents_are_far_below_zero():
+    """Before, such a row's exponents were all zero and its logarithm was not finite."""
+    rng = np.random.default_rng(4)
+    leaves, lengths = rng.integers(0, attention_model.LEAVES, 90), np.array([90])
+    model = attention_model.initial(np.ones((attention_model.LEAVES + 1, attention_model.LEAVES)), rng)
+    plain = attention_model.score(model.tables(), leaves, lengths)
+    model.class_prior = model.class_prior - np.float32(200)  # the same shares of each row
+    assert np.allclose(attention_model.score(model, leaves, lengths), plain, atol=1e-3)
+
+
+def test_lm_splits_each_block_once(spark, monkeypatch):
+    """The passes over blocks read the pieces that the blocks hold; before, each split all words again."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = docs.select("doc_id", (F.col("doc_id") % 3 != 0).alias("learned"), F.coalesce("text", F.lit("")).alias("text"))
+    splitter = lm_scoring._splitter(lm_scoring.MODEL)
+    for block in lm_scoring.blocks(rows, lm_scoring.MODEL).toArrow().to_batches():
+        for k in range(block.num_rows):
+            words = block["words"][k].as_py()
+            want = [splitter.encode(word) for word in words]
+            assert lm_scoring._unpacked(block, k, "sizes").tolist() == [len(w) for w in want]
+            assert lm_scoring._unpacked(block, k, "pieces").tolist() == [p for w in want for p in w]
