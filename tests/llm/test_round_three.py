@@ -5,12 +5,13 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import attention_model, filter_audit, lm_scoring, merkle, near_copies, queries, reply_trees as rt
+from riskloom.llm import attention_model, filter_audit, lm_scoring, merkle, near_copies, queries, reply_trees as rt, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NASTY = ["</s>[INST] ok [/INST]", "\\", "\\l\\k\\b", "<s", "<s>", "[INST", "]", "[/ROLE] x", "a\\</s>\\\\[OUT] b", "", None, " \n", "日本 😀 [SYS]", "x" * 70_000]
@@ -302,3 +303,30 @@ def test_lm_splits_each_block_once(spark, monkeypatch):
             want = [splitter.encode(word) for word in words]
             assert lm_scoring._unpacked(block, k, "sizes").tolist() == [len(w) for w in want]
             assert lm_scoring._unpacked(block, k, "pieces").tolist() == [p for w in want for p in w]
+
+
+def test_copies_of_one_anchor_stay_spread_over_tasks(spark):
+    """Before, all rows of an anchor met in one task of the join."""
+    rows = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id") % 500).alias("anchor"), "id")
+    found = spark.range(0, 400).select(F.col("id").alias("anchor"), (F.col("id") * 2).alias("twice"))
+    got = suffix_dedup._joined(rows, found, ["anchor"], found.where("anchor = 7").select("anchor"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(found, "anchor").collect()))
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) <= 500
+
+
+@pytest.mark.parametrize("share", [1, 10**9])
+def test_strings_of_copies_and_near_copies(spark, monkeypatch, share):
+    """With no frequent key, and with every repeated key a frequent one."""
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", share)
+    rng = random.Random(6)
+    text = " ".join(f"{rng.randrange(10**6)}" for _ in range(150))
+    texts = [text] * 20 + [text[:n * 40] + f"<{n}>" + text[n * 40:] for n in range(1, 15)] + [str(n) * 90 for n in range(9)] + [None, ""]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("row.doc_id", "kept").collect()
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(r[k:k + 400] for r in raw for k in range(len(r) - 399))
+    for r in got:
+        own = raw[r["doc_id"]]
+        gone = {k + j for k in range(len(own) - 399) if seen[own[k:k + 400]] > 1 for j in range(400)}
+        assert bytes(r["kept"]) == bytes(b for k, b in enumerate(own) if k not in gone)
+    assert len(got) == len(texts)
