@@ -245,6 +245,24 @@ def test_near_copies_without_centres_keep_every_link(spark, monkeypatch):
     assert 1 < len(set(root)) < len(rows) and sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
 
 
+def test_near_copies_that_share_no_band_are_one_group(spark):
+    """Two texts of similarity 0.8 whose MinHash values agree in 42 places, but in no band: candidates by bands alone never meet."""
+    import pyarrow as pa
+
+    rng = random.Random(592)
+    words = [f"w{n}" for n in range(230)]
+    for _ in range(5):
+        copy = list(words)
+        for k in rng.sample(range(len(words)), 5):
+            copy[k] = f"x{rng.randrange(9999)}"
+    texts = [" ".join(words), " ".join(copy), " ".join(reversed(words))]
+    keys, _ = near_copies._keys(*near_copies._sets(pa.array(texts)))
+    a, b = (set(zip(*(t.split()[k:] for k in range(5)))) for t in texts[:2])
+    assert 10 * len(a & b) >= 8 * len(a | b) and not (keys[0] == keys[1]).any()
+    got = near_copies.near_copy_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 2]
+
+
 @pytest.mark.parametrize("hi", [0, 1])
 def test_last_pass_returns_fewer_links_than_members(hi):
     """Two parts of a bucket return the links that join their groups, not all their pairs, and none that falls short of the similarity."""
